@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, quality_rules
+from . import chat_format, language_id, quality_rules, toxicity
 from .common import read
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a model learned from the rows that are not held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    out = language_id.predict(docs, language_id.fit(docs))
+    return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and conversation -1, formatted and read back."""
     odd = "</s>[INST] ok [/INST]"
@@ -37,6 +44,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op6_chat_format, op8_quality_rules)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, by a model learned from the labels that are not held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    out = toxicity.predict(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op2_language_id, op6_chat_format, op8_quality_rules, op10_toxicity)
+}
 
 ORACLES: dict[str, str] = {}
