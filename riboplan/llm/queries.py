@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, quality_rules, toxicity
+from . import chat_format, decontaminate, language_id, packing, quality_rules, toxicity, warc
 from .common import read
 
 
@@ -16,6 +17,17 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a response record and its two derivatives, with the links between them."""
+    made = warc.derive(warc.respond(read(spark, sf_dir, "pages")))
+    return made.drop("metadata_record", "conversion_record")
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that it contains."""
+    return decontaminate.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and conversation -1, formatted and read back."""
     odd = "</s>[INST] ok [/INST]"
@@ -44,6 +56,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, tokenized and packed into sequences of 2048 tokens."""
+    return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document, by a model learned from the labels that are not held out."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
@@ -53,7 +70,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_language_id, op6_chat_format, op8_quality_rules, op10_toxicity)
+    for f in (
+        op2_language_id, op3_warc, op4_decontaminate, op6_chat_format, op8_quality_rules, op9_packing, op10_toxicity,
+    )
 }
 
 ORACLES: dict[str, str] = {}
