@@ -6,10 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, packing, quality_rules, toxicity, warc
+from . import chat_format, decontaminate, language_id, packing, quality_rules, substring_dedup, suffix_dedup, toxicity, warc
 from .common import read
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 50-word windows that a document with a smaller id has, too."""
+    out = substring_dedup.dedup(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, by a model learned from the rows that are not held out."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
@@ -49,6 +55,12 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 50-byte strings that a document with a smaller id has, too."""
+    out = suffix_dedup.dedup(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdicts for every document."""
     return quality_rules.quality(read(spark, sf_dir, "documents")).select(
@@ -71,7 +83,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_language_id, op3_warc, op4_decontaminate, op6_chat_format, op8_quality_rules, op9_packing, op10_toxicity,
+        op1_substring_dedup, op2_language_id, op3_warc, op4_decontaminate, op6_chat_format, op7_suffix_dedup,
+        op8_quality_rules, op9_packing, op10_toxicity,
     )
 }
 
