@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, packing, quality_rules, substring_dedup, suffix_dedup, toxicity, warc
+from . import chat_format, decontaminate, language_id, ngram_join, packing, quality_rules, substring_dedup, suffix_dedup, toxicity, warc
 from .common import read
 
 
@@ -34,6 +34,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document among those linked by 4-word shingles at 85 percent."""
+    return ngram_join.join(read(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and conversation -1, formatted and read back."""
     odd = "</s>[INST] ok [/INST]"
@@ -83,7 +88,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_substring_dedup, op2_language_id, op3_warc, op4_decontaminate, op6_chat_format, op7_suffix_dedup,
+        op1_substring_dedup, op2_language_id, op3_warc, op4_decontaminate, op5_ngram_join, op6_chat_format,
+        op7_suffix_dedup,
         op8_quality_rules, op9_packing, op10_toxicity,
     )
 }
