@@ -17,9 +17,12 @@ sequence numbers are partition << 32 plus a running number, equal on each recomp
 from __future__ import annotations
 
 import os
+import sys
 import zlib
 from collections.abc import Iterator
+from types import ModuleType
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -30,31 +33,58 @@ END_ID = 0
 
 
 class Chunks(dict):
-    """Chunk (UTF-8) -> its ids as little-endian 32-bit bytes; emptied at a fixed size."""
+    """Chunk (UTF-8) -> its ids as little-endian 32-bit bytes; emptied at a fixed size.
+
+    New chunks are tokenized many at a time, parted by a special string of the tokenizer, whose id
+    marks their ends; chunks that may hold such a string themselves go alone. The tokenizer lowers
+    case, so chunks are looked up in lower case, but not where a text may spell a special string.
+    """
 
     LIMIT = 400_000
+    BATCH = 2_000
 
     def __init__(self, tokenizer) -> None:
         self.tokenizer = tokenizer
+        self.mark, self.mark_id = min((t.content, i) for i, t in tokenizer.get_added_tokens_decoder().items() if t.special)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def learn(self, words: set[bytes]) -> None:
-        new = list(words)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for w, e in zip(part, found, strict=True):
-                self[w] = b"".join(x.to_bytes(4, "little") for x in e.ids)
+        odd = [w for w in words if b"<|" in w]
+        for w in odd:
+            self[w] = self._ids(w.decode()).astype("<u4").tobytes()
+        new = list(words.difference(odd))
+        for i in range(0, len(new), self.BATCH):
+            part = new[i : i + self.BATCH]
+            ids = self._ids(self.mark.join([w.decode() for w in part]))
+            cut = np.flatnonzero(ids == self.mark_id)
+            raw = ids.astype("<u4").tobytes()
+            ends = [*(4 * cut).tolist(), len(raw)]
+            begins = [0, *(4 * cut + 4).tolist()]
+            self.update(zip(part, map(raw.__getitem__, map(slice, begins, ends)), strict=True))
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text; chunks that are new in a block of texts are tokenized together."""
-        split = [t.split() for t in texts]
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         if len(self) > self.LIMIT:
             self.clear()
-        self.learn({w for ws in split for w in ws if w not in self})
+        self.learn(set().union(*split).difference(self.keys()))
         for ws in split:
             yield b"".join(map(self.__getitem__, ws))
 
 
+def worker_chunks(tokenizer_json: str) -> Chunks:
+    """The chunks that this Python worker knows already: Spark runs many tasks in one worker process."""
+    state = sys.modules.setdefault("riboplan_worker_state", ModuleType("riboplan_worker_state")).__dict__
+    name = f"chunks {zlib.crc32(tokenizer_json.encode())}"
+    if name not in state:
+        from tokenizers import Tokenizer
+
+        state[name] = Chunks(Tokenizer.from_str(tokenizer_json))
+    return state[name]
+
+
 def blocks(texts: list[bytes], size: int = 2_000_000) -> Iterator[list[bytes]]:
     part: list[bytes] = []
     total = 0
@@ -118,9 +148,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACIT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        chunks = Chunks(Tokenizer.from_str(sent.value))
+        chunks = worker_chunks(sent.value)
         base = TaskContext.get().partitionId() << 32
         doc, piece, start, length, crc = [], [], [], [], []
         for b in batches:
@@ -137,7 +165,6 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACIT
                         length.append(len(cut) // 4)
                         crc.append(zlib.crc32(cut))
                     at += 1
-        chunks.clear()
         sequence, offset = [0] * len(length), [0] * len(length)
         for s, bin_ in enumerate(pack(length, capacity)):
             place = 0
