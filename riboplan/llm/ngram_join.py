@@ -72,16 +72,17 @@ def _cells(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("_text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long"), F.encode(text, "UTF-8").alias("_text"), F.xxhash64(text).alias("text_hash"))
 
 
 def _facts(rows: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, cls of each row (cell null); and of each task its part of the sketch (n: count, cell)."""
+    """doc_id, text_hash, n, cls of each row (cell null); and of each task its part of the sketch (n: count, cell)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         sets, counts = Sets(k), np.zeros((2, 1 << SKETCH_BITS), np.int64)
-        names = ["doc_id", "n", "cls", "cell"]
+        names = ["doc_id", "text_hash", "n", "cls", "cell"]
         for b in batches:
             n, cls = [], []
             for t in b["_text"]:
@@ -91,12 +92,12 @@ def _facts(rows: DataFrame, k: int) -> DataFrame:
                 for row, cell in zip(counts, _cells(s), strict=True):
                     np.add.at(row, cell, 1)
             none = pa.nulls(len(b), pa.int32())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(cls, pa.int64()), none], names)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], pa.array(n, pa.int64()), pa.array(cls, pa.int64()), none], names)
         cell = np.flatnonzero(counts)
         none = pa.nulls(len(cell), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.array(counts.ravel()[cell]), none, pa.array(cell.astype(np.int32))], names)
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(counts.ravel()[cell]), none, pa.array(cell.astype(np.int32))], names)
 
-    return rows.mapInArrow(run, "doc_id long, n long, cls long, cell int")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, cls long, cell int")
 
 
 def _prefixes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFrame:
@@ -194,7 +195,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+    """doc_id, n_shingles, component_id, text_hash (xxhash64, to tell rows of one id apart) of every row."""
     rows = _texts(docs)
     facts = durable(_facts(rows, k))
     sketch = np.zeros(2 << SKETCH_BITS, np.int64)
@@ -246,4 +247,4 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
         groups = named.select("cls", F.min("least").over(Window.partitionBy(comp)).alias("component_id"))
     out = facts.join(small_side(groups, n_classes), "cls", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "text_hash")

@@ -36,7 +36,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of every document among those linked by 4-word shingles at 85 percent."""
-    return ngram_join.join(read(spark, sf_dir, "documents"), k=4, percent=85)
+    return ngram_join.join(read(spark, sf_dir, "documents"), k=4, percent=85).drop("text_hash")
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
