@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riboplan.plans import quantify_queries
+from riboplan.plans import operon_queries, quantify_queries, sequence_queries
 
-MODULES = (quantify_queries,)
+MODULES = (quantify_queries, operon_queries, sequence_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

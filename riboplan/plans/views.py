@@ -32,12 +32,12 @@ FROM {{documents}} CROSS JOIN (SELECT 0 j UNION ALL SELECT 1 UNION ALL SELECT 2
 WHERE length({_BASES})>=j*110+150""",
     "probes": f"SELECT item_id ord, {_BASES} seq FROM {{benchmark}} WHERE text IS NOT NULL",
     "cigars": """
-SELECT l_orderkey*10+l_linenumber id, CAST(l_partkey AS BIGINT) pos0,
- concat(CASE WHEN l_linenumber%3=0 THEN concat(CAST(l_linenumber AS STRING),'S') ELSE '' END,
+SELECT l_orderkey*10+l_linenumber id, max(CAST(l_partkey AS BIGINT)) pos0,
+ max(concat(CASE WHEN l_linenumber%3=0 THEN concat(CAST(l_linenumber AS STRING),'S') ELSE '' END,
  CASE WHEN l_linenumber%4=0 THEN concat(CAST(1+l_suppkey%5 AS STRING),'D') ELSE '' END,
  CAST(CAST(l_quantity AS BIGINT)+10 AS STRING),CASE WHEN l_returnflag='R' THEN 'M' ELSE '=' END,
  CASE WHEN l_linestatus='O' THEN concat(CAST(1+l_partkey%7 AS STRING),'N',CAST(20+l_linenumber AS STRING),'X') ELSE '' END,
- CASE WHEN l_returnflag='A' THEN '3I5M' ELSE '' END) cigar FROM {lineitem}""",
+ CASE WHEN l_returnflag='A' THEN '3I5M' ELSE '' END)) cigar FROM {lineitem} GROUP BY l_orderkey*10+l_linenumber""",
     "hits": """
 SELECT l_orderkey*10+l_linenumber id, (l_partkey*37)%1000 pos1, (l_suppkey*53)%1000 pos2,
  CASE WHEN l_returnflag='R' THEN '-' ELSE '+' END strand1, CASE WHEN l_linestatus='O' THEN '-' ELSE '+' END strand2,
