@@ -17,12 +17,13 @@ sequence numbers are partition << 32 plus a running number, equal on each recomp
 from __future__ import annotations
 
 import os
+import struct
 import sys
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from types import ModuleType
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,37 +33,44 @@ CAPACITY = 2048
 END_ID = 0
 
 
+#: The byte-level alphabet: each byte as the character that the vocabulary spells it with.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTERS = {b: b for b in _PRINTABLE} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_MARKS = ".,;:!?"
+
+
 class Chunks(dict):
     """Chunk (UTF-8) -> its ids as little-endian 32-bit bytes; emptied at a fixed size.
 
-    New chunks are tokenized many at a time, parted by a special string of the tokenizer, whose id
-    marks their ends; chunks that may hold such a string themselves go alone. The tokenizer lowers
-    case, so chunks are looked up in lower case, but not where a text may spell a special string.
+    Plain chunks, which are Latin letters with marks behind them, are what the tokenizer's normalizer and
+    splitter leave as one word and one run of marks; those go straight to its model, which spares the
+    bookkeeping of offsets. All others take the whole tokenizer. The tokenizer lowers case, so chunks are
+    looked up in lower case, but not where a text may spell a special string.
     """
 
-    LIMIT = 400_000
-    BATCH = 2_000
+    LIMIT = 1_000_000
 
     def __init__(self, tokenizer) -> None:
-        self.tokenizer = tokenizer
-        self.mark, self.mark_id = min((t.content, i) for i, t in tokenizer.get_added_tokens_decoder().items() if t.special)
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+
+    def _model_ids(self, piece: str) -> bytes:
+        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
+        ids = [t.id for t in self.model.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _ids(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        word = text.rstrip(_MARKS)
+        plain = word.isalpha() and (word.isascii() or (max(word) < "\u0250" and unicodedata.is_normalized("NFC", word) and word.lower().isalpha()))
+        if not plain:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        out = self._model_ids(word.lower())
+        return out + self._model_ids(text[len(word) :]) if len(text) > len(word) else out
 
     def learn(self, words: set[bytes]) -> None:
-        odd = [w for w in words if b"<|" in w]
-        for w in odd:
-            self[w] = self._ids(w.decode()).astype("<u4").tobytes()
-        new = list(words.difference(odd))
-        for i in range(0, len(new), self.BATCH):
-            part = new[i : i + self.BATCH]
-            ids = self._ids(self.mark.join([w.decode() for w in part]))
-            cut = np.flatnonzero(ids == self.mark_id)
-            raw = ids.astype("<u4").tobytes()
-            ends = [*(4 * cut).tolist(), len(raw)]
-            begins = [0, *(4 * cut + 4).tolist()]
-            self.update(zip(part, map(raw.__getitem__, map(slice, begins, ends)), strict=True))
+        for w in words:
+            self[w] = self._ids(w)
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text; chunks that are new in a block of texts are tokenized together."""
