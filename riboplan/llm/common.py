@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +40,45 @@ def words_of(text: Column) -> Column:
     """Array of the maximal runs of characters outside WHITE; empty for null or blank text."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, WHITE))
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finalizer: each bit of the result depends on all of x."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
+_BYTES = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_IS_WHITE = np.zeros(256, bool)
+_IS_WHITE[[32, *range(9, 14)]] = True
+_BYTES[_IS_WHITE] = 0
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def word_names(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit names of all words of all texts in a row, and the number of words of each text.
+
+    A name is a hash of the word's bytes (random 64-bit values of the bytes, weighted by their places), made
+    for all words at once. ``lower`` first lowers A-Z.
+    """
+    raw = np.frombuffer(b"\n".join(texts), np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    raw = _LOWER[raw] if lower else raw
+    ink = ~_IS_WHITE[raw]
+    begins = ink.copy()
+    begins[1:] &= ~ink[:-1]
+    first = np.flatnonzero(begins)
+    if not len(first):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    gaps = np.diff(np.concatenate([first, [len(raw)]]))
+    place = np.arange(first[0], len(raw)) - np.repeat(first, gaps)
+    power = np.full(int(gaps.max()), 0x9E3779B97F4A7C15, np.uint64)
+    power[0] = 1
+    power = np.cumprod(power)
+    names = mix(np.add.reduceat(_BYTES[raw[first[0] :]] * power[place], first - first[0]))
+    ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
+    upto = np.searchsorted(first, ends)
+    return names, np.diff(np.concatenate([[0], upto]))

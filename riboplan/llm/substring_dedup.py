@@ -12,7 +12,8 @@ equal stretch. With lengths capped at 2, 2, 4 and 8 words, after the run round a
 borders from 10 words inside each end of a 50-word window are set by the window alone. A phrase is the
 row of symbols from a border to the first border at least 6 words on; phrases that begin 10 to 27 words
 into a window lie in that part, and at least one does. The anchor of a window is the least of them by
-hash. Shared phrases reveal repeats; the windows around them are then verified by 128 bits each.
+hash. Shared phrases reveal repeats; the windows around them are then verified, by the phrase's name
+and a hash of their 50 names, 128 bits together.
 
 Defined results: null text has no words; null ids are neither compared nor changed; rows of one id never
 remove each other's words; repeated rows give repeated results; an empty table gives an empty result;
@@ -21,30 +22,20 @@ further columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import LENGTH, Unit, kept_symbols, mix, with_spans
+from .common import mix, word_names
+from .repeats import LENGTH, Unit, kept_symbols, with_spans
 
 CAPS = (2, 4, 8)
 PHRASE = 6
 _K1, _K2, _R = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
-class WordNames(dict):
-    """Word -> 64-bit name; emptied at a fixed size."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = name = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return name
-
-
 def _join(names: np.ndarray, sizes: np.ndarray, merge: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merge each symbol marked in ``merge`` with the next one; (names, sizes, kept places)."""
     left = np.flatnonzero(merge)
@@ -77,14 +68,8 @@ def recompress(names: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.nda
 class Words(Unit):
     lo, hi = 10, 27
 
-    def __init__(self) -> None:
-        self.names = WordNames()
-
-    def symbols(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list]:
-        held = [t.split() for t in texts]
-        sizes = np.array([len(w) for w in held], np.int64)
-        codes = np.fromiter((self.names[w] for ws in held for w in ws), np.uint64, int(sizes.sum()))
-        return codes, sizes, held
+    def symbols(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return word_names(texts)
 
     def keys(self, symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         names, begins = recompress(symbols, owner)
@@ -95,20 +80,19 @@ class Words(Unit):
         phrase = mix((total[end] - total[:-1]) * back[:-1])
         return begins, phrase
 
-    def stretch(self, held, first: int, last: int) -> bytes:
-        return b" ".join(held[first:last])
+    def material(self, symbols: np.ndarray) -> tuple[np.ndarray, int]:
+        """The hash of the window at each place; windows that cross texts are never asked for."""
+        return window_hash(mix(symbols), LENGTH, _K1), 1
 
-    def classes(self, stretches: list[bytes], groups: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Windows are equal if two independent 64-bit hashes of their 50 names are."""
-        codes, sizes, _ = self.symbols(stretches)
-        n = sizes - LENGTH + 1
-        ends = np.cumsum(sizes)
+    def classes(self, stretches: list[np.ndarray], groups: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Windows are equal if their anchor's key and their own hash are, 128 bits together."""
+        n = np.array([len(s) for s in stretches], np.int64)
         owner = np.repeat(np.arange(len(stretches)), n)
-        first = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ends - sizes, n)
-        a, b = (window_hash(mix(codes ^ np.uint64(s)), LENGTH, r)[first] for s, r in ((0x1234567, _R), (0x89ABCDEF, _K1)))
-        order = np.lexsort((b, a))
+        key = np.searchsorted(groups, owner, side="right")
+        h = np.concatenate(stretches)
+        order = np.lexsort((h, key))
         new = np.ones(len(order), bool)
-        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+        new[1:] = (h[order][1:] != h[order][:-1]) | (key[order][1:] != key[order][:-1])
         classes = np.empty(len(order), np.int64)
         classes[order] = np.cumsum(new) - 1
         yield owner, classes
