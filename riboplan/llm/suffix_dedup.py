@@ -24,57 +24,70 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import LENGTH, Unit, kept_symbols, mix, with_spans
+from .common import mix
+from .repeats import LENGTH, Unit, kept_symbols, with_spans
 from .substring_dedup import window_hash
 
 GRAM = 16
 #: Strings that are ordered together (keys are never parted), and symbols beyond which columns go to files.
-BLOCK = 2_000
+BLOCK = 4_000
 MEMORY = 16_000_000
 CHUNK = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-# a column's entry: symbol before the suffix (0: none), common prefix with the one above, length, string
-_SYMBOL, _PREFIX, _SIZE, _STRING = (np.uint64(x) for x in (0, 16, 24, 32))
-_LOW = np.uint64(0xFFFF)
 
 
 class Columns:
-    """Rows of 64 bits in suffix order; a new generation is written from the old one, front to back."""
+    """Two columns in suffix order: the symbol before each suffix (0: none), and its prefix, length and string.
 
-    def __init__(self, folder: str | None) -> None:
-        self.folder, self.turn, self.rows = folder, 0, np.zeros(0, np.uint64)
+    The second packs the common prefix with the suffix above (8 bits), the length (8) and the string. A new
+    generation is written from the old one, front to back.
+    """
 
-    def fresh(self, n: int) -> np.ndarray:
+    def __init__(self, strings: int, folder: str | None) -> None:
+        self.kind = np.uint32 if strings < 1 << 16 else np.uint64
+        self.folder, self.turn = folder, 0
+
+    def packed(self, prefix: np.ndarray, size: int, string: np.ndarray) -> np.ndarray:
+        return (prefix | size << 8 | string << 16).astype(self.kind)
+
+    def fresh(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if self.folder is None:
-            return np.empty(n, np.uint64)
-        self.turn += 1
-        return np.memmap(os.path.join(self.folder, f"column-{self.turn % 2}"), np.uint64, "w+", shape=(n,))
-
-    def insert(self, places: np.ndarray, new: np.ndarray) -> None:
-        """Put ``new`` at ``places`` (ascending, counted in the result)."""
-        out = self.fresh(len(self.rows) + len(new))
-        for a in range(0, len(out), CHUNK):
-            b = min(a + CHUNK, len(out))
+            return np.empty(n, np.uint8), np.empty(n, self.kind)
+        self.turn ^= 1
+        at = lambda name: os.path.join(self.folder, f"{name}-{self.turn}")
+        return np.memmap(at("symbols"), np.uint8, "w+", shape=(n,)), np.memmap(at("rest"), self.kind, "w+", shape=(n,))
+
+    def insert(self, places: np.ndarray, symbols: np.ndarray, rest: np.ndarray) -> None:
+        """Put new rows at ``places`` (ascending, counted in the result)."""
+        n = len(self.symbols) + len(places)
+        out = self.fresh(n)
+        for a in range(0, n, CHUNK):
+            b = min(a + CHUNK, n)
             i, j = np.searchsorted(places, (a, b))
             old = np.ones(b - a, bool)
             old[places[i:j] - a] = False
-            part = np.empty(b - a, np.uint64)
-            part[old] = self.rows[a - i : b - j]
-            part[~old] = new[i:j]
-            out[a:b] = part
-        self.rows = out
+            for to, held, new in zip(out, (self.symbols, self.rest), (symbols, rest), strict=True):
+                part = to[a:b]
+                part[old] = held[a - i : b - j]
+                part[places[i:j] - a] = new[i:j]
+        self.symbols, self.rest = out
 
 
 def _minima(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """min(x[lo + 1 .. hi]) for many ranges, by minima of powers of two."""
-    span = hi - lo
     out = np.empty(len(lo), x.dtype)
-    level = np.frexp(span.astype(np.float64))[1] - 1
-    table, step = x, 1
-    for k in range(int(level.max(initial=0)) + 1):
-        at = np.flatnonzero(level == k)
-        out[at] = np.minimum(table[lo[at] + 1], table[hi[at] + 1 - step])
+    level = np.frexp((hi - lo).astype(np.float32))[1] - 1
+    by = np.argsort(level.astype(np.uint8), kind="stable")
+    cuts = np.cumsum(np.bincount(level, minlength=1))
+    table, step, done = x, 1, 0
+    for upto in cuts.tolist():
+        if upto > done:
+            at = by[done:upto]
+            out[at] = np.minimum(table[lo[at] + 1], table[hi[at] + 1 - step])
+            done = upto
+        if done == len(by):
+            break
         table = np.minimum(table[:-step], table[step:])
         step *= 2
     return out
@@ -86,86 +99,78 @@ def suffix_order(strings: list[bytes], folder: str | None = None) -> tuple[np.nd
     sizes = np.array([len(s) for s in strings], np.int64)
     if sizes.max(initial=0) > 255:
         raise ValueError("strings of at most 255 bytes, as one anchor's windows are")
-    text = np.frombuffer(b"".join(strings), np.uint8)
+    raw = np.frombuffer(b"".join(strings), np.uint8)
+    used = np.flatnonzero(np.bincount(raw, minlength=256))
+    if len(used) == 256:
+        raise ValueError("UTF-8 has no use of all 256 bytes")
+    code = np.zeros(256, np.uint8)
+    code[used] = np.arange(1, len(used) + 1)
+    text = np.concatenate([code[raw], np.zeros(1, np.uint8)])
     ends = np.cumsum(sizes)
-    columns = Columns(folder)
+    columns = Columns(m, folder)
     ids = np.arange(m)
-    last = np.where(sizes > 0, text[np.maximum(ends - 1, 0)].astype(np.int64) + 1 if len(text) else 0, 0)
-    columns.rows = last.astype(np.uint64) | (ids.astype(np.uint64) << _STRING)
+    columns.symbols = np.where(sizes > 0, text[np.maximum(ends - 1, 0)], 0).astype(np.uint8)
+    columns.rest = columns.packed(np.zeros(m, np.int64), 0, ids)
     place = ids.copy()  # of each live string's longest suffix
     for size in range(1, int(sizes.max(initial=0)) + 1):
         live = sizes[ids] >= size
         ids, place = ids[live], place[live]
-        rows = columns.rows
-        n = len(rows)
-        symbol = np.asarray((rows & _LOW)).astype(np.uint16)
-        prefix = np.asarray((rows >> _PREFIX) & np.uint64(0xFF)).astype(np.uint8)
+        symbol = np.asarray(columns.symbols)
+        prefix = np.asarray(columns.rest).astype(np.uint8)  # the low eight bits
+        n = len(symbol)
         order = np.argsort(symbol, kind="stable")  # places by the symbol before, which is the order of the extensions
         first = int(np.searchsorted(symbol, 1, sorter=order))
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
-        loc = rank[place]
-        # With the strings by new place, neighbours are read off the order of the extensions.
-        by = np.argsort(loc, kind="stable")
+        rank = np.empty(n, np.int32)
+        rank[order] = np.arange(n, dtype=np.int32)
+        loc = rank[place].astype(np.int64)
+        by = np.argsort(loc)
         ids, place, loc = ids[by], place[by], loc[by]
         new_place = m + loc - first
+        # A new suffix's neighbours with the same first symbol extend its neighbours in the order of extensions.
         own = symbol[place]
-        up = np.maximum(loc - 1, 0)
-        has_up = (loc > first) & (symbol[order[up]] == own)
-        value = np.zeros(len(ids), np.int64)
-        if has_up.any():
-            value[has_up] = np.minimum(_minima(prefix, order[up[has_up]], place[has_up]).astype(np.int64) + 1, LENGTH)
-        down = np.minimum(loc + 1, n - 1)
-        has_down = (loc + 1 < n) & (symbol[order[down]] == own)
-        below = np.zeros(len(ids), np.int64)
-        if has_down.any():
-            below[has_down] = np.minimum(_minima(prefix, place[has_down], order[down[has_down]]).astype(np.int64) + 1, LENGTH)
-        at = ends[ids] - size - 1
-        before = np.where(sizes[ids] > size, text[np.maximum(at, 0)].astype(np.int64) + 1, 0)
-        fresh = (
-            before.astype(np.uint64) | (value.astype(np.uint64) << _PREFIX)
-            | (np.uint64(size) << _SIZE) | (ids.astype(np.uint64) << _STRING)
-        )
-        columns.insert(new_place, fresh)
+        up, down = np.maximum(loc - 1, 0), np.minimum(loc + 1, n - 1)
+        above, below = order[up], order[down]
+        has_up, has_down = (loc > first) & (symbol[above] == own), (loc + 1 < n) & (symbol[below] == own)
+        least = _minima(prefix, np.concatenate([above[has_up], place[has_down]]), np.concatenate([place[has_up], below[has_down]]))
+        least = np.minimum(least.astype(np.int64) + 1, LENGTH)
+        value, under_value = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        value[has_up], under_value[has_down] = least[: has_up.sum()], least[has_up.sum() :]
+        before = np.where(sizes[ids] > size, text[ends[ids] - size - 1], 0).astype(np.uint8)
+        columns.insert(new_place, before, columns.packed(value, size, ids))
         # the suffix under a new one has a new upper neighbour; if it is new itself, its value is right already
         under = new_place + 1
-        old = under < len(columns.rows)
+        old = under < len(columns.rest)
         old[:-1] &= under[:-1] != new_place[1:]
-        rows = columns.rows
         u = under[old]
-        rows[u] = (rows[u] & ~(np.uint64(0xFF) << _PREFIX)) | (below[old].astype(np.uint64) << _PREFIX)
+        columns.rest[u] = (columns.rest[u] & ~columns.kind(255)) | under_value[old].astype(columns.kind)
         place = new_place
-    rows = columns.rows
-    unpack = lambda shift, mask: np.asarray((rows >> shift) & np.uint64(mask)).astype(np.int64)
-    return unpack(_STRING, 0xFFFFFFFF), unpack(_SIZE, 0xFF), unpack(_PREFIX, 0xFF)
+    rest = np.asarray(columns.rest).astype(np.int64)
+    return rest >> 16, (rest >> 8) & 255, rest & 255
 
 
 class Bytes(Unit):
     lo, hi = 0, LENGTH - GRAM
 
-    def symbols(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list]:
-        return np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int64), texts
+    def symbols(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int64)
 
-    def keys(self, symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def keys(self, symbols: np.ndarray, owner: np.ndarray) -> tuple[slice, np.ndarray]:
         key = mix(window_hash(symbols.astype(np.uint64) + np.uint64(1), GRAM, _BASE))
-        return np.arange(len(key)), key
+        return slice(0, len(key)), key
 
-    def stretch(self, held, first: int, last: int) -> bytes:
-        return held[first:last]
+    def material(self, symbols: np.ndarray) -> tuple[np.ndarray, int]:
+        return symbols, LENGTH
 
-    def classes(self, stretches: list[bytes], groups: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def classes(self, stretches: list[np.ndarray], groups: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         lo = 0
         while lo < len(groups) - 1:
             hi = max(lo + 1, int(np.searchsorted(groups, groups[lo] + BLOCK, side="right")) - 1)
-            part = stretches[groups[lo] : groups[hi]]
+            part = [x.tobytes() for x in stretches[groups[lo] : groups[hi]]]
             owner, classes = self._ordered(part)
             yield owner + groups[lo], classes
             lo = hi
 
     def _ordered(self, part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(part) == 1:  # nothing to compare with
-            n = len(part[0]) - LENGTH + 1
-            return np.zeros(n, np.int64), np.arange(n)
         if sum(map(len, part)) > MEMORY:
             with tempfile.TemporaryDirectory() as folder:
                 string, size, prefix = suffix_order(part, folder)
@@ -178,8 +183,12 @@ class Bytes(Unit):
         return string[order], label[order] - label.min(initial=0)
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (bytes) of every row: bytes covered by repeated windows are gone."""
+def dedup(docs: DataFrame, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept of every row: bytes covered by repeated windows are gone.
+
+    The ``keep`` columns are passed through. ``as_text`` gives ``kept`` as a string, without the characters
+    that a cut has broken.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,9 +202,11 @@ def dedup(docs: DataFrame) -> DataFrame:
                     spans[-1] = int((~stay & np.concatenate([[True], stay[:-1]])).sum())
                     raw = np.frombuffer(raw, np.uint8)[stay].tobytes()
                 gone.append(total[-1] - len(raw))
-                kept.append(raw)
+                kept.append(raw.decode("utf-8", "ignore") if as_text else raw)
             numbers = [pa.array(x, pa.int64()) for x in (total, gone, spans)]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *numbers, pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            names = ["doc_id", *keep, "n_bytes", "n_removed", "n_spans", "kept"]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *(b[c] for c in keep), *numbers, pa.array(kept, pa.string() if as_text else pa.binary())], names)
 
-    out = with_spans(docs, Bytes()).select("doc_id", "_text", "spans")
-    return out.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    passed = "".join(f"`{c}` {t}, " for c, t in docs.select(*keep).dtypes)
+    out = with_spans(docs, Bytes(), keep).select("doc_id", "_text", "spans", *keep)
+    return out.mapInArrow(run, f"doc_id long, {passed}n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
