@@ -48,6 +48,7 @@ def load_references(spark: SparkSession, path: str, circular: bool = False, circ
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+    files.listed({"path": path})
     files.register(spark)
     return spark.read.format("fastq").load(path)
 
@@ -73,7 +74,8 @@ def _positive(text: Column) -> Column:
 def read_gff_strict(spark: SparkSession, path: str, feature_types: tuple[str, ...] = ("gene",), id_attribute: str = "locus_tag") -> DataFrame:
     """gene_id, contig, strand, start, end (half-open), ord: any malformed line raises; rows without the id go."""
     c = F.col("c")
-    rows = _gff_rows(spark, path).filter(F.when(F.size(c) != 9, F.raise_error(F.concat(F.lit("not nine columns: "), F.array_join(c, " "))).cast("boolean")).otherwise(c[2].isin([t.strip() for t in feature_types])))
+    rows = _gff_rows(spark, path).filter(F.when(F.size(c) != 9, F.raise_error(F.concat(F.lit("not nine columns: "), F.array_join(c, " "))).cast("boolean")).otherwise(F.get(c, F.lit(2)).isin([t.strip() for t in feature_types])))
+    c = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.get(F.col("c"), i))
     strand = F.when(c[6].isin("+", "-"), c[6]).otherwise(F.raise_error(F.concat(F.lit("no strand: "), c[6])))
     rows = rows.select("ord", attributes.strict(c[8]).alias("a"), c[0].alias("contig"), strand.alias("strand"), _positive(c[3]).alias("s"), _positive(c[4]).alias("e"))
     start = F.when((F.col("s") < 1) | (F.col("e") < F.col("s")), F.raise_error(F.lit("bad coordinates")).cast("bigint")).otherwise(F.col("s") - 1)
@@ -84,7 +86,8 @@ def read_gff_strict(spark: SparkSession, path: str, feature_types: tuple[str, ..
 def read_gff_lenient(spark: SparkSession, path: str, feature_types: tuple[str, ...] = ("gene",)) -> DataFrame:
     """gene_id, chrom, start, end (1-based, inclusive), strand, ord: lines without nine columns are skipped."""
     c = F.col("c")
-    rows = _gff_rows(spark, path).filter((F.size(c) == 9)).filter(c[2].isin(list(feature_types)))
+    c = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.get(c, i))  # Spark may test the type before the size
+    rows = _gff_rows(spark, path).filter((F.size("c") == 9) & F.get("c", F.lit(2)).isin(list(feature_types)))
     return rows.select(
         attributes.lenient_id(attributes.lenient(c[8])).alias("gene_id"), c[0].alias("chrom"), c[3].cast("bigint").alias("start"),
         c[4].cast("bigint").alias("end"), c[6].alias("strand"), "ord",
@@ -92,6 +95,7 @@ def read_gff_lenient(spark: SparkSession, path: str, feature_types: tuple[str, .
 
 
 def read_bam(spark: SparkSession, *paths: str, require_order: bool = False) -> DataFrame:
+    files.listed({"path": ",".join(paths)})
     files.register(spark)
     return spark.read.format("bam").option("requireCoordinateOrder", str(require_order).lower()).load(",".join(paths))
 
