@@ -15,6 +15,8 @@ from riboplan.operators import align as al
 from riboplan.operators import minimizers as mz
 from riboplan.operators import rrna
 
+from riboplan.session import durable
+
 from .views import spark_view, with_views
 
 K, W = 15, 10
@@ -26,11 +28,11 @@ def _contigs(spark, d):
 
 
 def _reads(spark, d):
-    return spark_view(spark, d, "reads")
+    return spark_view(spark, d, "reads").repartition("ordinal")  # one small file, much work a row
 
 
 def _index(spark, d):
-    return mz.build_index(_contigs(spark, d), K, W)
+    return durable(mz.build_index(_contigs(spark, d), K, W))
 
 
 def revcomp_reads(spark: SparkSession, d: str) -> DataFrame:
