@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import map_batches
 from .nn import Adam, PooledConvolutions, softmax
 
 WINDOW = 192
@@ -168,7 +169,7 @@ def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -
 
     rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text")).withColumn("_letter", F.col("_text").rlike(r"\p{L}"))
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", lang_pred string, score double"
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def fit(docs: DataFrame) -> dict:

@@ -11,10 +11,13 @@ the sketch decides only how seldom unrelated sets meet there. It has a fixed siz
 Candidates meet in the rows of a prefix window, pass the length and positional filters, and are
 verified once: a suffix filter bounds the difference by counts in hash ranges, then the sets are merged.
 
-Links are wanted as components, so not all pairs of a group are made. In star rounds each set is compared
-with one pivot of its windows' rows; what is linked becomes one component, and rows within one component
-need nothing more. When the rounds have no more to give, all pairs left whose components differ are
-compared. No link between two components is lost, and a group of copies costs one comparison a member.
+Links are wanted as components, so not all pairs of a group are made. Each set that meets LONG_ROW others or
+more is first compared with one pivot, the set that heads most of its windows' rows; what links is one component. Two sets
+compared with the same pivot then meet no more by what both share with it, but by how they differ from it: if
+x and y are similar, the difference of their difference sets is as small as theirs, so difference sets larger
+than that bound share a window, and prefix and positional filters hold for them as for sets. A group of
+copies costs one comparison a member, and variants of it meet only if they vary alike. Pairs of different
+pivots, and the few sets near the bound, meet by their own windows. No link between two components is lost.
 
 Defined results: without words or text the set is empty and linked with nothing; a null id is linked with
 nothing and gets a null component; each row is judged by its own text, so repeated rows get equal results;
@@ -31,35 +34,57 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, small_side
-from .repeats import mix
-from .substring_dedup import WordNames
+from .common import durable, map_batches, mix, small_side, word_names
 
 SKETCH_BITS = 16
-#: Windows of all partners of one round up to which their sets are broadcast (32 MB); beyond it both sides shuffle.
-BROADCAST_WINDOWS = 4_000_000
-STAR_ROUNDS = 3
+#: Links up to which one task finds their components (32 MB of them).
+ONE_TASK_LINKS = 2_000_000
 RANGES = 16
+#: Sets in one window's row from which on they are compared with a pivot, not each with each.
+LONG_ROW = 12
 _K = np.uint64(0xD6E8FEB86659FD93)
 
 
-class Sets:
-    """Text -> sorted distinct hashes of its windows of k words; the whole of a shorter text is one window."""
-
-    def __init__(self, k: int) -> None:
-        self.k, self.names = k, WordNames()
-
-    def of(self, text: bytes) -> np.ndarray:
-        words = text.lower().split()  # bytes.lower() changes A-Z only
-        n = len(words)
-        if not n:
-            return np.zeros(0, np.uint64)
-        x = mix(np.fromiter(map(self.names.__getitem__, words), np.uint64, n))
-        width = min(n, self.k)
-        h = x[: n - width + 1]
-        for j in range(1, width):
-            h = h * _K + x[j : n - width + 1 + j]
-        return np.unique(mix(h + np.uint64(width)))
+#: Text whose sets are made in one vectorized run, in bytes.
+RUN_BYTES = 250_000
+
+
+def sets_of(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
+    """Of each text the sorted distinct hashes of its windows of k words; a shorter text is one window."""
+    part: list[bytes] = []
+    held = 0
+    for last, t in enumerate(texts, 1):
+        part.append(t)
+        held += len(t)
+        if held >= RUN_BYTES or last == len(texts):
+            yield from _run_sets(part, k)
+            part, held = [], 0
+
+
+def _run_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
+    names, sizes = word_names(texts, lower=True)
+    x = mix(names)
+    full = np.zeros(0, np.uint64)
+    if len(x) >= k:
+        full = x[: len(x) - k + 1]
+        for j in range(1, k):
+            full = full * _K + x[j : len(x) - k + 1 + j]
+        full = mix(full + np.uint64(k))
+    at = 0
+    for n in sizes.tolist():
+        if n >= k:
+            s = np.sort(full[at : at + n - k + 1])
+            new = np.ones(len(s), bool)
+            np.not_equal(s[1:], s[:-1], out=new[1:])
+            yield s[new]
+        elif n:
+            h = x[at : at + 1]
+            for j in range(1, n):
+                h = h * _K + x[at + j : at + j + 1]
+            yield mix(h + np.uint64(n))
+        else:
+            yield np.zeros(0, np.uint64)
+        at += n
 
 
 def class_of(s: np.ndarray) -> int:
@@ -71,6 +96,12 @@ def _cells(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (s & mask).astype(np.int64), ((s >> np.uint64(SKETCH_BITS)) & mask).astype(np.int64)
 
 
+def _count(counts: np.ndarray, some: list[np.ndarray]) -> None:
+    if some:
+        for row, cell in zip(counts, _cells(np.concatenate(some)), strict=True):
+            row += np.bincount(cell, minlength=len(row))
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long"), F.encode(text, "UTF-8").alias("_text"), F.xxhash64(text).alias("text_hash"))
@@ -81,23 +112,26 @@ def _facts(rows: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        sets, counts = Sets(k), np.zeros((2, 1 << SKETCH_BITS), np.int64)
+        counts = np.zeros((2, 1 << SKETCH_BITS), np.int64)
         names = ["doc_id", "text_hash", "n", "cls", "cell"]
         for b in batches:
-            n, cls = [], []
-            for t in b["_text"]:
-                s = sets.of(t.as_py())
+            n, cls, held, some = [], [], 0, []
+            for s in sets_of(b["_text"].to_pylist(), k):
                 n.append(len(s))
                 cls.append(class_of(s))
-                for row, cell in zip(counts, _cells(s), strict=True):
-                    np.add.at(row, cell, 1)
+                some.append(s)
+                held += len(s)
+                if held > 500_000:
+                    _count(counts, some)
+                    some, held = [], 0
+            _count(counts, some)
             none = pa.nulls(len(b), pa.int32())
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], pa.array(n, pa.int64()), pa.array(cls, pa.int64()), none], names)
         cell = np.flatnonzero(counts)
         none = pa.nulls(len(cell), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, pa.array(counts.ravel()[cell]), none, pa.array(cell.astype(np.int32))], names)
 
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, cls long, cell int")
+    return map_batches(rows, run, "doc_id long, text_hash long, n long, cls long, cell int")
 
 
 def _prefixes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFrame:
@@ -106,11 +140,10 @@ def _prefixes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        sets, counts = Sets(k), sent.value
+        counts = sent.value
         for b in batches:
             out: list[list[np.ndarray]] = [[], [], [], []]
-            for t in b["_text"]:
-                s = sets.of(t.as_py())
+            for s in sets_of(b["_text"].to_pylist(), k):
                 n = len(s)
                 size = n - -(-percent * n // 100) + 1
                 one, two = _cells(s)
@@ -121,7 +154,7 @@ def _prefixes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Data
             for i in range(0, len(columns[0]), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in columns], ["token", "cls", "n", "pos"])
 
-    return rows.mapInArrow(run, "token long, cls long, n int, pos int")
+    return map_batches(rows, run, "token long, cls long, n int, pos int")
 
 
 def _may_link(percent: int, n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
@@ -145,41 +178,90 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (total - shared)
 
 
-def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (cls, other) that link, each compared once."""
+def widest(n: int, percent: int) -> int:
+    """Largest difference (symmetric) that a set of n windows can have from a similar set."""
+    return (100 - percent) * (n + 100 * n // percent) // (100 + percent)
+
+
+def _difference(x: np.ndarray, pivot: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
+    """Size of the difference set, and its prefix: what only x has comes first, then what only the pivot has."""
+    mine, lacks = np.setdiff1d(x, pivot, assume_unique=True), np.setdiff1d(pivot, x, assume_unique=True)
+    size = len(mine) + len(lacks)
+    return size, np.concatenate([mine, lacks])[: widest(len(x), percent) + 1]
+
+
+def _compared(rows: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int, differences: bool = False) -> DataFrame:
+    """cls, other, linked, n, nd, tokens of every pair, compared once; the last two only if ``differences``."""
 
-    def sets_of(part: DataFrame, keep: list[str], own: str, name: str) -> DataFrame:
+    def with_sets(part: DataFrame, keep: list[str], own: str, name: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.seterr(over="ignore")
-            sets = Sets(k)
             for b in batches:
-                got = [sets.of(t.as_py()) for t in b["_text"]]
+                got = list(sets_of(b["_text"].to_pylist(), k))  # of one batch
                 same = pa.array([class_of(s) == c for s, c in zip(got, b[own].to_pylist(), strict=True)], pa.bool_())
                 columns = [*(b[c] for c in keep), pa.array([s.tobytes() for s in got], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, name]).filter(same)
 
-        return part.mapInArrow(run, ", ".join(f"{c} long" for c in keep) + f", {name} binary")
+        return map_batches(part, run, ", ".join(f"{c} long" for c in keep) + f", {name} binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [
-                similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent)
-                for x, y in zip(b["_mine"], b["_theirs"], strict=True)
-            ]
-            yield b.select(["cls", "other"]).filter(pa.array(ok, pa.bool_()))
+            linked, n, nd, tokens = [], [], [], []
+            for x, y in zip(b["_mine"], b["_theirs"], strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                size, prefix = _difference(x, y, percent) if differences else (0, x[:0])
+                linked.append(similar(x, y, percent))
+                n.append(len(x))
+                nd.append(size)
+                tokens.append(prefix.astype(np.int64))
+            ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *tokens])))
+            columns = [b["cls"], b["other"], pa.array(linked, pa.bool_()), pa.array(n, pa.int32()), pa.array(nd, pa.int32()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["cls", "other", "linked", "n", "nd", "tokens"])
 
     where = classes.select("cls", F.col("least").alias("doc_id"), "n")
     others = durable(pairs.select(F.col("other").alias("cls")).distinct().join(where, "cls"))
-    count, windows = others.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    theirs = sets_of(rows.join(small_side(others, count), "doc_id"), ["cls"], "cls", "_theirs").withColumnRenamed("cls", "other")
+    theirs = with_sets(rows.join(small_side(others, others.count()), "doc_id"), ["cls"], "cls", "_theirs").withColumnRenamed("cls", "other")
     mine = durable(pairs.join(where.drop("n"), "cls"))
-    mine = sets_of(rows.join(small_side(mine, mine.count()), "doc_id"), ["cls", "other"], "cls", "_mine")
-    both = mine.join(small_side(theirs, windows, BROADCAST_WINDOWS), "other")
-    return both.select("cls", "other", "_mine", "_theirs").mapInArrow(run, "cls long, other long").distinct()
+    mine = with_sets(rows.join(small_side(mine, mine.count()), "doc_id"), ["cls", "other"], "cls", "_mine")
+    both = mine.join(theirs, "other")
+    schema = "cls long, other long, linked boolean, n int, nd int, tokens array<long>"
+    return map_batches(both.select("cls", "other", "_mine", "_theirs"), run, schema).dropDuplicates(["cls", "other"])
+
+
+def components(links: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataFrame:
+    """node, label: the least node reachable. Up to ``one_task`` links one task unites them; beyond, by rounds."""
+    links = links.select("cls", "other").distinct()
+    if links.limit(one_task + 1).count() <= one_task:
+        return map_batches(links.coalesce(1), _united, "node long, label long")
+    return _spread(links)
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union by the least node, over arrays: labels fall along all links until they rest."""
+    got = [(b["cls"].to_numpy(), b["other"].to_numpy()) for b in batches]
+    if not got:
+        return
+    a, b = (np.concatenate(x) for x in zip(*got, strict=True))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        before = label.copy()
+        np.minimum.at(label, a, before[b])
+        np.minimum.at(label, b, before[a])
+        # roots of both ends meet, too, so that long chains shrink fast
+        np.minimum.at(label, before[a], label[b])
+        np.minimum.at(label, before[b], label[a])
+        label = label[label]
+        if (label == before).all():
+            break
+    for i in range(0, len(nodes), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 100_000]), pa.array(nodes[label[i : i + 100_000]])], ["node", "label"])
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, label: the least node reachable; by least neighbours and jumps, in logarithmically many rounds."""
+def _spread(links: DataFrame) -> DataFrame:
+    """Labels by least neighbours and jumps, in logarithmically many rounds."""
     one = links.select(F.col("cls").alias("node"), F.col("other").alias("to"))
     edges = durable(one.union(one.select(F.col("to").alias("node"), F.col("node").alias("to"))).distinct())
     labels = durable(edges.groupBy("node").agg(F.min("to").alias("_m")).select("node", F.least("node", "_m").alias("label")))
@@ -194,13 +276,63 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _with_comp(df: DataFrame, links: DataFrame) -> DataFrame:
+    labels = components(links).select(F.col("node").alias("cls"), F.col("label").alias("comp"))
+    return df.join(durable(labels), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+
+
+def _links(rows: DataFrame, classes: DataFrame, met: DataFrame, k: int, percent: int) -> DataFrame:
+    """cls, other: links enough to make the components; ``met`` has token, cls, n, pos of windows that c sets share."""
+    by_token = Window.partitionBy("token")
+    # pivots of long rows: the set with the most such rows heads one; a set takes the head of most of its rows
+    long_rows = met.filter(F.col("c") >= LONG_ROW).drop("c")
+    shared = long_rows.groupBy("cls").agg((-F.count("*")).alias("_few"))
+    heads = long_rows.join(shared, "cls").withColumn("_head", F.min(F.struct("_few", "cls")).over(by_token)["cls"])
+    votes = heads.groupBy("cls", "_head").agg(F.count("*").alias("_n"))
+    top = durable(votes.groupBy("cls").agg(F.max(F.struct("_n", "_head"))["_head"].alias("other")))
+    for _ in range(3):  # a head that follows another one hands its sets on, so that a group has one pivot
+        up = top.select(F.col("cls").alias("other"), F.col("other").alias("_up"))
+        top = durable(top.join(up, "other", "left").select("cls", F.coalesce("_up", "other").alias("other")))
+    pairs = top.filter("cls != other")
+    first = durable(_compared(rows, classes, pairs, k, percent, differences=True))
+    near = first.filter("linked").select("cls", "other")
+
+    bound = F.floor((100 - percent) * (F.col("n") + F.floor(100 * F.col("n") / percent)) / (100 + percent))
+    pivot = first.withColumn("pivot", F.when(F.col("linked") | (F.col("nd") > bound), F.col("other")))  # null: near the bound
+    # by difference from one pivot
+    d = _with_comp(pivot.filter("pivot is not null").select("pivot", "cls", "n", "nd", F.posexplode("tokens").alias("pos", "token")), near)
+    spread = Window.partitionBy("pivot", "token")
+    d = durable(d.withColumns({"a": F.min("comp").over(spread), "b": F.max("comp").over(spread)}).filter("a != b").drop("a", "b"))
+    x, y = d.alias("x"), d.alias("y")
+    most = 1 + F.least(F.col("x.nd") - F.col("x.pos"), F.col("y.nd") - F.col("y.pos")) - 1
+    ok = (F.col("x.nd") + F.col("y.nd") - 2 * most) * (100 + percent) <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    apart = (F.col("x.comp") != F.col("y.comp")) & (F.col("x.cls") < F.col("y.cls"))
+    same = (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.token") == F.col("y.token"))
+    length = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    alike = x.join(y, same & apart & length & ok).select("x.cls", F.col("y.cls").alias("other"))
+
+    # by their own windows, unless one pivot has parted them or one is the other's pivot
+    m = _with_comp(met.join(pivot.select("cls", "pivot", F.col("other").alias("done")), "cls", "left"), near)
+    m = durable(m.withColumns({"a": F.min("comp").over(by_token), "b": F.max("comp").over(by_token)}).filter("a != b").drop("a", "b"))
+    x, y = m.alias("x"), m.alias("y")
+    settled = F.coalesce(F.col("x.pivot") == F.col("y.pivot"), F.lit(False)) | F.coalesce(F.col("x.done") == F.col("y.cls"), F.lit(False))
+    settled = settled | F.coalesce(F.col("y.done") == F.col("x.cls"), F.lit(False))
+    ok = _may_link(percent, F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
+    other = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & ok & ~settled).select("x.cls", F.col("y.cls").alias("other"))
+    rest = durable(alike.union(other).distinct())
+    if rest.isEmpty():
+        return near
+    more = _compared(rows, classes, rest, k, percent).filter("linked").select("cls", "other")
+    return durable(near.union(more))
+
+
 def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, text_hash (xxhash64, to tell rows of one id apart) of every row."""
     rows = _texts(docs)
     facts = durable(_facts(rows, k))
     sketch = np.zeros(2 << SKETCH_BITS, np.int64)
-    for r in facts.filter("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        sketch[r["cell"]] = r["n"]
+    cells = facts.filter("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    sketch[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     facts = facts.filter("cell is null").drop("cell")
     linkable = facts.filter("doc_id is not null and n > 0")
     classes = durable(linkable.groupBy("cls").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")))
@@ -209,36 +341,11 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     live = rows.join(small_side(first, n_classes), "doc_id", "left_semi")
     by_token = Window.partitionBy("token")
     found = _prefixes(live, k, percent, sketch.reshape(2, -1))
-    met = found.withColumns({"a": F.min("cls").over(by_token), "b": F.max("cls").over(by_token)})
-    met = durable(met.filter("a != b").drop("a", "b").distinct())
+    met = found.withColumns({"a": F.min("cls").over(by_token), "b": F.max("cls").over(by_token), "c": F.count("*").over(by_token)})
+    met = durable(met.filter("a != b").drop("a", "b"))
     labels = None
-    links = None
-    rounds = 0
-    while not met.isEmpty():
-        rows_ = met if labels is None else met.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left")
-        rows_ = rows_.withColumn("comp", F.coalesce("label", "cls") if labels is not None else F.col("cls"))
-        rows_ = rows_.withColumns({"a": F.min("comp").over(by_token), "b": F.max("comp").over(by_token)})
-        left = durable(rows_.filter("a != b").select("token", "cls", "n", "pos", "comp"))
-        star = rounds < STAR_ROUNDS
-        if star:
-            me = F.struct(F.xxhash64("cls", F.lit(rounds)).alias("h"), "cls", "n", "pos", "comp")
-            both = left.withColumns({"lo": F.min(me).over(by_token), "hi": F.max(me).over(by_token)})
-            pick = both.withColumn("p", F.when(F.col("lo.comp") != F.col("comp"), F.col("lo")).otherwise(F.col("hi")))
-            ok = (F.col("p.comp") != F.col("comp")) & _may_link(percent, F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"))
-            pairs = pick.filter(ok).groupBy("cls").agg(F.min(F.struct("p.h", "p.cls")).alias("p")).select("cls", F.col("p.cls").alias("other"))
-        else:
-            x, y = left.alias("x"), left.alias("y")
-            on = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.cls") < F.col("y.cls"))
-            ok = _may_link(percent, F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
-            pairs = x.join(y, on & ok).select(F.col("x.cls").alias("cls"), F.col("y.cls").alias("other")).distinct()
-        new = durable(_verified(rows, classes, durable(pairs), k, percent))
-        links = new if links is None else durable(links.union(new))
-        if not links.isEmpty():
-            labels = components(links)
-        rounds += 1
-        if not star:
-            break
-        met = left.drop("comp")
+    if not met.isEmpty():
+        labels = durable(components(_links(rows, classes, met, k, percent)))
     if labels is None:
         groups = classes.select("cls", F.col("least").alias("component_id"))
     else:

@@ -29,6 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 CAPACITY = 2048
 END_ID = 0
 
@@ -48,7 +50,7 @@ class Chunks(dict):
     looked up in lower case, but not where a text may spell a special string.
     """
 
-    LIMIT = 1_000_000
+    LIMIT = 400_000
 
     def __init__(self, tokenizer) -> None:
         self.tokenizer, self.model = tokenizer, tokenizer.model
@@ -185,4 +187,4 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACIT
         yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("_text")).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("_text")), run, schema)

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, mix, small_side
+from .common import durable, map_batches, mix, small_side
 
 LENGTH = 50
 PLACE_BITS = 28
@@ -160,7 +160,7 @@ def _send_keys(rows: DataFrame, unit: Unit) -> DataFrame:
                 cols = [pa.array(ids[w]), pa.array(fps[w]), pa.array(route[i : i + 100_000]), told.slice(i, 100_000)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "_fp", "_route", "key"])
 
-    return rows.mapInArrow(run, "doc_id long, _fp long, _route long, key long")
+    return map_batches(rows, run, "doc_id long, _fp long, _route long, key long")
 
 
 def _send_cells(rows: DataFrame, unit: Unit) -> DataFrame:
@@ -187,7 +187,7 @@ def _send_cells(rows: DataFrame, unit: Unit) -> DataFrame:
             blobs = [key[edges[i] : edges[i + 1]].tobytes() for i in some]
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "keys"])
 
-    return rows.mapInArrow(run, "bucket int, keys binary")
+    return map_batches(rows, run, "bucket int, keys binary")
 
 
 def _bit_map(cells: DataFrame) -> np.ndarray:
@@ -210,7 +210,7 @@ def _bit_map(cells: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bucket", "bits"])
 
     out = np.zeros((BUCKETS, width // 8), np.uint8)
-    for r in cells.repartition("bucket").mapInArrow(run, "bucket int, bits binary").toLocalIterator(prefetchPartitions=True):
+    for r in map_batches(cells.repartition("bucket"), run, "bucket int, bits binary").toLocalIterator(prefetchPartitions=True):
         out[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
     return out.ravel()
 
@@ -289,7 +289,7 @@ def _send_stretches(rows: DataFrame, unit: Unit, parts: int, bit_map: np.ndarray
             blob = _packed([a[of] for a in arrays], values[ranges(begin[of], arrays[1][of])])
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([blob], pa.binary())], ["part", "blob"])
 
-    return rows.mapInArrow(run, "part int, blob binary")
+    return map_batches(rows, run, "part int, blob binary")
 
 
 def _content_hashes(material: np.ndarray, begin: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
@@ -370,7 +370,7 @@ def _spans(stretches: DataFrame, unit: Unit) -> DataFrame:
             for i in range(0, len(columns[0]), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000].astype(np.int64)) for x in columns], ["doc_id", "_fp", "s", "e"])
 
-    return stretches.mapInArrow(run, "doc_id long, _fp long, s long, e long")
+    return map_batches(stretches, run, "doc_id long, _fp long, s long, e long")
 
 
 def _merged(spans: DataFrame) -> DataFrame:
@@ -391,7 +391,7 @@ def _merged(spans: DataFrame) -> DataFrame:
             pair = pa.StructArray.from_arrays([pa.array(s[head] - (at << 32)), pa.array(e[tail] - (at << 32))], ["s", "e"])
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["_fp"], pa.ListArray.from_arrays(size, pair)], ["doc_id", "_fp", "spans"])
 
-    return spans.mapInArrow(run, "doc_id long, _fp long, spans array<struct<s: long, e: long>>")
+    return map_batches(spans, run, "doc_id long, _fp long, spans array<struct<s: long, e: long>>")
 
 
 def kept_symbols(spans: pa.ListArray, row: int, n: int) -> np.ndarray:

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mix, word_names
+from .common import map_batches, mix, word_names
 from .repeats import LENGTH, Unit, kept_symbols, with_spans
 
 CAPS = (2, 4, 8)
@@ -135,4 +135,4 @@ def dedup(docs: DataFrame) -> DataFrame:
             )
 
     out = with_spans(docs, Words()).select("doc_id", "_text", "spans")
-    return out.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
+    return map_batches(out, run, "doc_id long, n_words long, n_removed long, kept binary")

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mix
+from .common import map_batches, mix
 from .repeats import LENGTH, Unit, kept_symbols, with_spans
 from .substring_dedup import window_hash
 
@@ -209,4 +209,4 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = (), as_text: bool = False) ->
 
     passed = "".join(f"`{c}` {t}, " for c, t in docs.select(*keep).dtypes)
     out = with_spans(docs, Bytes(), keep).select("doc_id", "_text", "spans", *keep)
-    return out.mapInArrow(run, f"doc_id long, {passed}n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
+    return map_batches(out, run, f"doc_id long, {passed}n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")

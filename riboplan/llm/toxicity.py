@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import map_batches
 from .nn import Adam, PooledConvolutions
 
 BUCKETS = 1 << 16
@@ -227,7 +228,7 @@ def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -
 
     rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", score double, predicted int"
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:

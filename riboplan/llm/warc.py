@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 DATE = "1970-01-01T00:00:00Z"  # the pages carry no time of capture
 
 # Elements whose content is no text, and elements that end a line.
@@ -169,7 +171,7 @@ def respond(pages: DataFrame) -> DataFrame:
             made = [response(u, h) for u, h in zip(b["url"].to_pylist(), b["html"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b["page_id"], pa.array(made, pa.binary())], ["page_id", "record"])
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, record binary")
+    return map_batches(pages.select(F.col("page_id").cast("long"), "url", "html"), run, "page_id long, record binary")
 
 
 def derive(records: DataFrame) -> DataFrame:
@@ -184,7 +186,7 @@ def derive(records: DataFrame) -> DataFrame:
                 part = pa.RecordBatch.from_pylist(made, schema=_FIELDS)
                 yield pa.RecordBatch.from_arrays([ids.slice(i, 500), *part.columns], ["page_id", *_FIELDS.names])
 
-    return records.mapInArrow(run, f"page_id long, {_DDL}")
+    return map_batches(records, run, f"page_id long, {_DDL}")
 
 
 def files(records: DataFrame, column: str) -> DataFrame:
@@ -208,4 +210,4 @@ def files(records: DataFrame, column: str) -> DataFrame:
         if members:
             yield row()
 
-    return records.select(column).mapInArrow(run, "part string, content binary")
+    return map_batches(records.select(column), run, "part string, content binary")
