@@ -284,10 +284,12 @@ def _with_comp(df: DataFrame, links: DataFrame) -> DataFrame:
 def _links(rows: DataFrame, classes: DataFrame, met: DataFrame, k: int, percent: int) -> DataFrame:
     """cls, other: links enough to make the components; ``met`` has token, cls, n, pos of windows that c sets share."""
     by_token = Window.partitionBy("token")
-    # pivots of long rows: the set with the most such rows heads one; a set takes the head of most of its rows
+    # pivots of long rows: the set of the most documents, then of the most such rows, heads one (what is varied
+    # is often copied, too), and a set takes the head of most of its rows
     long_rows = met.filter(F.col("c") >= LONG_ROW).drop("c")
     shared = long_rows.groupBy("cls").agg((-F.count("*")).alias("_few"))
-    heads = long_rows.join(shared, "cls").withColumn("_head", F.min(F.struct("_few", "cls")).over(by_token)["cls"])
+    shared = shared.join(classes.select("cls", (-F.col("copies")).alias("_rare")), "cls")
+    heads = long_rows.join(shared, "cls").withColumn("_head", F.min(F.struct("_rare", "_few", "cls")).over(by_token)["cls"])
     votes = heads.groupBy("cls", "_head").agg(F.count("*").alias("_n"))
     top = durable(votes.groupBy("cls").agg(F.max(F.struct("_n", "_head"))["_head"].alias("other")))
     for _ in range(3):  # a head that follows another one hands its sets on, so that a group has one pivot
@@ -335,7 +337,7 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     sketch[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     facts = facts.filter("cell is null").drop("cell")
     linkable = facts.filter("doc_id is not null and n > 0")
-    classes = durable(linkable.groupBy("cls").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")))
+    classes = durable(linkable.groupBy("cls").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.count("*").alias("copies")))
     first = classes.select(F.col("least").alias("doc_id")).distinct()
     n_classes = classes.count()
     live = rows.join(small_side(first, n_classes), "doc_id", "left_semi")
