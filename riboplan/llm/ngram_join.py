@@ -17,7 +17,7 @@ compared with the same pivot then meet no more by what both share with it, but b
 x and y are similar, the difference of their difference sets is as small as theirs, so difference sets larger
 than that bound share a window, and prefix and positional filters hold for them as for sets. A group of
 copies costs one comparison a member, and variants of it meet only if they vary alike. Pairs of different
-pivots, and the few sets near the bound, meet by their own windows. No link between two components is lost.
+pivots, sets near the bound and sets unlike their pivot meet by their own windows. No link between two components is lost.
 
 Defined results: without words or text the set is empty and linked with nothing; a null id is linked with
 nothing and gets a null component; each row is judged by its own text, so repeated rows get equal results;
@@ -300,7 +300,9 @@ def _links(rows: DataFrame, classes: DataFrame, met: DataFrame, k: int, percent:
     near = first.filter("linked").select("cls", "other")
 
     bound = F.floor((100 - percent) * (F.col("n") + F.floor(100 * F.col("n") / percent)) / (100 + percent))
-    pivot = first.withColumn("pivot", F.when(F.col("linked") | (F.col("nd") > bound), F.col("other")))  # null: near the bound
+    # no pivot for sets near the bound, and for those that have little to do with theirs
+    apart = (F.col("nd") > bound) & (F.col("nd") <= F.col("n"))
+    pivot = first.withColumn("pivot", F.when(F.col("linked") | apart, F.col("other")))
     # by difference from one pivot
     d = _with_comp(pivot.filter("pivot is not null").select("pivot", "cls", "n", "nd", F.posexplode("tokens").alias("pos", "token")), near)
     spread = Window.partitionBy("pivot", "token")
