@@ -49,9 +49,14 @@ SELECT p_partkey id, concat(CASE WHEN p_partkey%3=0 THEN concat('ID=g',CAST(p_pa
  'Name=',replace(p_name,' ','%20'),'+x;note=a;note=b',CAST(p_size AS STRING),CASE WHEN p_partkey%5=0 THEN ';' ELSE '' END) text FROM {part}""",
 }
 
+#: What Spark reads instead of a view above that leaves rows out; DuckDB's SQL stays as it was given.
+WHOLE = {
+    "contigs": f"SELECT concat('c',CAST(doc_id AS STRING)) contig, doc_id ord, {_BASES} seq FROM {{documents}}",
+}
+
 
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sql = VIEWS[name].replace("<G>", "")
+    sql = WHOLE.get(name, VIEWS[name]).replace("<G>", "")
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"\{(\w+)\}", sql))}
     return spark.sql(sql, **tables)
 
