@@ -17,7 +17,7 @@ from riboplan.operators import rrna
 
 from riboplan.session import durable
 
-from .views import spark_view, with_views
+from .views import ORDINALS, spark_view, with_views
 
 K, W = 15, 10
 
@@ -96,9 +96,9 @@ def rrna_filter(spark: SparkSession, d: str) -> DataFrame:
 
 def _pairs(spark, d):
     r = _reads(spark, d)
-    one, two = r.filter("ordinal % 4 = 0"), r.filter("ordinal % 4 = 1")
-    a = one.select((F.col("ordinal") / 4).cast("bigint").alias("ordinal"), "name", F.col("seq").alias("seq1"))
-    b = two.select(F.floor(F.col("ordinal") / 4).alias("ordinal"), revcomp(F.col("seq")).alias("seq2"))
+    no, doc = F.col("ordinal") % ORDINALS, F.expr(f"ordinal div {ORDINALS}")
+    a = r.filter(no == 0).select(doc.alias("ordinal"), "name", F.col("seq").alias("seq1"))
+    b = r.filter(no == 1).select(doc.alias("ordinal"), revcomp(F.col("seq")).alias("seq2"))
     return a.join(b, "ordinal")
 
 
@@ -173,7 +173,7 @@ def edit_distance_hw(spark: SparkSession, d: str) -> DataFrame:
     """Each read's first 60 letters within its own document's first 400."""
     r = _reads(spark, d)
     c = spark_view(spark, d, "contigs").select(F.col("ord").alias("doc"), F.substring("seq", 1, 400).alias("ref"))
-    rows = r.withColumn("doc", F.floor(F.col("ordinal") / 4)).join(c, "doc").select("ordinal", locate_udf(F.substring("seq", 1, 60), F.col("ref")).alias("h"))
+    rows = r.withColumn("doc", F.expr(f"ordinal div {ORDINALS}")).join(c, "doc").select("ordinal", locate_udf(F.substring("seq", 1, 60), F.col("ref")).alias("h"))
     return rows.select("ordinal", "h.*")
 
 

@@ -49,9 +49,16 @@ SELECT p_partkey id, concat(CASE WHEN p_partkey%3=0 THEN concat('ID=g',CAST(p_pa
  'Name=',replace(p_name,' ','%20'),'+x;note=a;note=b',CAST(p_size AS STRING),CASE WHEN p_partkey%5=0 THEN ';' ELSE '' END) text FROM {part}""",
 }
 
+#: Ordinals a document has: windows every 110 letters of the longest string that there can be (2 GB) are fewer.
+ORDINALS = 1 << 25
+
 #: What Spark reads instead of a view above that leaves rows out; DuckDB's SQL stays as it was given.
 WHOLE = {
     "contigs": f"SELECT concat('c',CAST(doc_id AS STRING)) contig, doc_id ord, {_BASES} seq FROM {{documents}}",
+    "reads": f"""
+SELECT doc_id*{ORDINALS}+w.j ordinal, concat('r',CAST(doc_id AS STRING),'_',CAST(w.j AS STRING)) name, w.seq seq FROM (
+ SELECT doc_id, explode(get(transform(array({_BASES}), s -> CASE WHEN length(s)>0 THEN transform(sequence(0,CAST(greatest(ceil((length(s)-150)/110),0) AS INT)),
+ i -> struct(CAST(i AS BIGINT) j, substr(s,1+i*110,150) seq)) ELSE array() END),0)) w FROM {{documents}})""",
 }
 
 
