@@ -95,11 +95,12 @@ def rrna_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark, d):
+    """Reads 0 and 1, 2 and 3 and so on of each document; a last read without a mate stands alone."""
     r = _reads(spark, d)
-    no, doc = F.col("ordinal") % ORDINALS, F.expr(f"ordinal div {ORDINALS}")
-    a = r.filter(no == 0).select(doc.alias("ordinal"), "name", F.col("seq").alias("seq1"))
-    b = r.filter(no == 1).select(doc.alias("ordinal"), revcomp(F.col("seq")).alias("seq2"))
-    return a.join(b, "ordinal")
+    pair, second = F.expr("ordinal div 2").alias("ordinal"), F.col("ordinal") % 2 == 1  # a document's ordinals begin evenly
+    a = r.filter(~second).select(pair, "name", F.col("seq").alias("seq1"))
+    b = r.filter(second).select(pair, revcomp(F.col("seq")).alias("seq2"))
+    return a.join(b, "ordinal", "left")
 
 
 def rrna_filter_pairs(spark: SparkSession, d: str) -> DataFrame:

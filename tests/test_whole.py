@@ -22,7 +22,7 @@ UNCUT = {
 
 def letters(seed, n):
     rng = random.Random(seed)
-    return "".join(rng.choice("abcdefghijklmnop q") for _ in range(n))
+    return "".join(rng.choice("abcdefghijklmnop " * 4 + "q") for _ in range(n))
 
 
 @pytest.fixture(scope="module")
@@ -85,3 +85,35 @@ def test_candidate_windows(spark, con, data):
     sql = uncut(catalog.oracle_sql()["candidate_windows"])
     sql = sql.replace("bin*20+150+250", "bin*20+(SELECT length(seq) FROM v_reads r WHERE r.ordinal=votes.ordinal)+250")
     same(catalog.queries()["candidate_windows"](spark, data), con.execute(sql))
+
+
+def all_pairs(con):
+    """Pair -> (name, first read, reverse complement of the second or None)."""
+    reads = {o: (n, s) for o, n, s in con.execute(UNCUT["reads"]).fetchall()}
+    turn = lambda s: s[::-1].translate(str.maketrans("ACGTN", "TGCAN"))
+    return {o // 2: (n, s, turn(reads[o + 1][1]) if o + 1 in reads else None) for o, (n, s) in reads.items() if o % 2 == 0}
+
+
+def test_every_read_is_in_a_pair(spark, con, data):
+    from riboplan.plans.sequence_queries import _pairs
+
+    want = all_pairs(con)
+    assert {r["ordinal"]: (r["name"], r["seq1"], r["seq2"]) for r in _pairs(spark, data).collect()} == want
+    assert sum(1 + (x[2] is not None) for x in want.values()) == len(con.execute(UNCUT["reads"]).fetchall())
+
+
+def test_rrna_filter_pairs(spark, con, data):
+    probe = con.execute(f"select {BASES} from benchmark").fetchone()[0]
+    source = {probe[i : i + 11] for i in range(len(probe) - 10)}
+    few = lambda s: sum(s[i : i + 11] in source for i in range(len(s) - 10)) < 20
+    pairs = all_pairs(con)
+    want = {(o, n) for o, (n, a, b) in pairs.items() if few(a) and few(b or "")}
+    assert {tuple(r) for r in catalog.queries()["rrna_filter_pairs"](spark, data).collect()} == want and len(want) < len(pairs)
+
+
+def test_align_pairs_places_every_pair(spark, con, data):
+    got = {r["ordinal"]: r for r in catalog.queries()["align_pairs"](spark, data).collect()}
+    want = all_pairs(con)
+    assert set(got) == set(want)
+    for o, (_, a, b) in want.items():
+        assert got[o]["cigar1"] == f"{len(a)}=" and (b is not None or got[o]["cigar2"] is None and not got[o]["proper"])
