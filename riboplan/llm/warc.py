@@ -2,13 +2,14 @@
 
 ``respond`` writes each page as a response record of WARC/1.1 (named fields, HTTP head, payload).
 ``derive`` reads response records and makes two records of each: ``metadata``, a JSON envelope of the
-source's named fields, its HTTP status line and headers, and what the HTML head and links say; and
+source's named fields, its HTTP status line and headers (as pairs in their order), and what the HTML head and links say; and
 ``conversion``, the plain text. Both carry ``WARC-Refers-To`` the response, its target and date, and
 digests of their own block; the metadata record also keeps the source's payload digest.
 
 Record ids are name-based UUIDs of what a record holds, so a recomputed task writes the same records.
 
-Plain text: comments, scripts, styles, heads and templates go, block elements end a line, entities are
+Plain text: comments, scripts, styles, heads and templates go (a head without an end tag ends at the first
+thing that can't stand in one; a template, noscript, svg or iframe closed by "/>" is empty), block elements end a line, entities are
 decoded, white space within a line becomes one space, blank lines go.
 
 Defined results: null html is an empty payload and gives an empty text; a null url leaves the target
@@ -43,8 +44,16 @@ BLOCK = (
 ).split()
 
 _TAG = r"""(?:"[^"]*"|'[^']*'|[^'">])*"""
+#: A head and what may stand in one; its end tag may be left out, and anything else ends it, too.
+_HEAD = (
+    rf"<head\b{_TAG}>(?:\s+|<!--.*?(?:-->|\Z)|<[!?]{_TAG}>|<title\b{_TAG}>.*?</title\s*>"
+    rf"|<(?P<h>script|style|template|noscript|noframes)\b{_TAG}>.*?(?:</(?P=h)\s*>|\Z)"
+    rf"|<(?:title|meta|link|base|basefont|bgsound)\b{_TAG}>|</(?!(?:head|body|html|br)\b)[a-z]{_TAG}>)*(?:</head\s*>)?"
+)
+#: Scripts and styles are not closed by "/>".
+_EMPTY = rf"""<(?:template|noscript|svg|iframe)\b(?:{_TAG}(?<=[\s"']))?/>"""
 _DROP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(" + "|".join(SILENT) + rf")\b{_TAG}>.*?(?:</\1\s*>|\Z)", re.S | re.I
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|{_HEAD}|{_EMPTY}|<(?P<s>" + "|".join(SILENT[1:]) + rf")\b{_TAG}>.*?(?:</(?P=s)\s*>|\Z)", re.S | re.I
 )
 _BREAK = re.compile(r"</?(?:" + "|".join(BLOCK) + rf")\b{_TAG}>", re.I)
 _ANY = re.compile(rf"</?[a-zA-Z!?]{_TAG}>")
@@ -80,7 +89,7 @@ def parse(blob: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     while blob.startswith(b"WARC/", at):
         end = blob.index(b"\r\n\r\n", at)
         lines = blob[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines)
+        fields = {k.strip(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
         size = int(fields["Content-Length"])
         yield fields, blob[end + 4 : end + 4 + size]
         at = end + 4 + size + 4
@@ -104,10 +113,18 @@ def plain_text(html: str) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def _split_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
+def _split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
+    """Status line, headers in their order (repeated ones as often as they stand there), payload."""
     head, _, payload = block.partition(b"\r\n\r\n")
     first, *rest = head.decode("latin-1").split("\r\n")
-    return first, dict(x.split(": ", 1) for x in rest if ": " in x), payload
+    headers: list[tuple[str, str]] = []
+    for line in rest:
+        if line[:1] in " \t" and headers:  # a folded line goes on with the one before
+            headers[-1] = (headers[-1][0], f"{headers[-1][1]} {line.strip()}".strip())
+        else:
+            name, _, value = line.partition(":")
+            headers.append((name.strip(), value.strip()))
+    return first, headers, payload
 
 
 def envelope(fields: dict[str, str], block: bytes) -> dict:

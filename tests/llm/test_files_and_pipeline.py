@@ -1,6 +1,7 @@
 import collections
 import gzip
 import html.parser
+import json
 import zlib
 
 import numpy as np
@@ -104,6 +105,28 @@ def test_records_link_and_parse(spark):
     assert len(list(warc.parse(bytes(out["content"])))) == 5 and gzip.decompress(bytes(out["content"]))[:8] == b"WARC/1.1"
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ("<head><title>x</title><body><p>all text", "all text"),
+    ("<head><meta charset='u'><script>'<p>no'</script>\n<title>x</title><div>all</div> text", "all\ntext"),
+    ("<head><title>x</title>bare <b>text</b>", "bare text"),
+    ("<HEAD lang='>'><!-- <p> --><title>x</title></HEAD><p>a", "a"),
+    ("<header>a</header>b", "a\nb"),
+    ("a <svg width='1' /> b <svg/> c <iframe src='/q'/> d <svg><text>no</text></svg> e", "a b c d e"),
+    ("<iframe src=http://u/>no</iframe>a<script src='x' />no</script>b", "a b"),
+])
+def test_unclosed_heads_and_empty_elements_keep_the_text(html, text):
+    assert warc.plain_text(html) == text
+
+
+def test_every_http_header_is_kept():
+    block = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2; t=0:1\r\nKey:value\r\nLong: x\r\n y\r\nEmpty:\r\n\r\n<p>a\r\n\r\nb"
+    fields = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>")]
+    record = warc.serialize(fields, block).replace(b"WARC-Type: ", b"WARC-Type:")
+    got = json.loads(warc.derivatives(record)["metadata"])["Payload-Metadata"]["HTTP-Response-Metadata"]
+    assert got["Headers"] == [["Set-Cookie", "a=1"], ["Set-Cookie", "b=2; t=0:1"], ["Key", "value"], ["Long", "x y"], ["Empty", ""]]
+    assert got["Entity-Length"] == 9
+
+
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
     import corpus_pipeline as cp
