@@ -4,14 +4,16 @@ Tokens: the tokenizer of a JSON file drops white space, so the ids of a text are
 between ASCII white space in order; chunks are tokenized once and looked up after that. An end id
 follows each document. Documents longer than a sequence are cut into full pieces and a remainder.
 
-Packing, in each partition of the input: a sequence is filled greedily with the longest piece that
-fits. If a gap remains, its smallest piece is replaced by the two unpacked pieces that fit the expanded
-gap most tightly, if they fill it further. Nothing is shuffled: a partition holds thousands of
-sequences, so one open sequence at its end costs little, and only lengths are held, never texts.
+Packing, over all documents at once: a sequence is filled greedily with the longest piece that fits. If a
+gap remains, its smallest piece is replaced by the two unpacked pieces that fit the expanded gap most
+tightly, if they fill it further. Only the number of pieces of each length matters for that, so the driver
+packs a table of at most ``capacity`` counts, a repeated filling in one step. A piece then finds its
+sequence from its length and its number among the pieces of that length: the counts of each length in each
+partition are summed up, and no piece is moved.
 
 Defined results: a null text is empty and yields the end id alone; null ids pass through; repeated rows
 are packed as often as they occur; a text's special strings count as the tokenizer counts them;
-sequence numbers are partition << 32 plus a running number, equal on each recomputation.
+sequences are numbered from 0 without gaps, and pieces are numbered in a durable table, once.
 """
 
 from __future__ import annotations
@@ -24,12 +26,13 @@ import zlib
 from collections.abc import Iterator
 from types import ModuleType
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import durable, map_batches, small_side
 
 CAPACITY = 2048
 END_ID = 0
@@ -107,51 +110,85 @@ def blocks(texts: list[bytes], size: int = 2_000_000) -> Iterator[list[bytes]]:
     yield part
 
 
-def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """Sequences as lists of places in ``lengths``, by best-two-fit."""
-    free: dict[int, list[int]] = {}
-    for i, n in enumerate(lengths):
-        free.setdefault(n, []).append(i)
-    mask = sum(1 << n for n in free)  # bit n: an unpacked piece of length n exists
+def fillings(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+    """(pieces of each length in a sequence, number of such sequences), by best-two-fit."""
+    left = {n: c for n, c in counts.items() if c > 0}
+    mask = sum(1 << n for n in left)  # bit n: an unpacked piece of length n exists
     out = []
 
-    def take(n: int) -> int:
+    def use(n: int, times: int) -> None:
         nonlocal mask
-        i = free[n].pop()
-        if not free[n]:
+        left[n] -= times
+        if not left[n]:
             mask &= ~(1 << n)
-        return i
 
     def longest(most: int) -> int:
         return (mask & ((2 << most) - 1)).bit_length() - 1 if most > 0 else -1
 
     while mask:
-        bin_, gap = [], capacity
+        bin_, gap = {}, capacity
         while (n := longest(gap)) > 0:
-            bin_.append(take(n))
+            use(n, 1)
+            bin_[n] = bin_.get(n, 0) + 1
             gap -= n
-        if gap and len(bin_) > 1 or gap and mask:
-            small = min(bin_, key=lambda i: lengths[i])
-            room, best, pair = gap + lengths[small], lengths[small], None
+        touched, small, pair = dict(bin_), min(bin_), None
+        if gap and mask:
+            room, best = gap + small, small
             a = longest(room - 1)
             while a > 0 and 2 * a > best and best < room:
                 b = longest(min(a, room - a))
-                if b == a and len(free[a]) < 2:
+                if b == a and left[a] < 2:
                     b = longest(a - 1)
                 if b > 0 and a + b > best:
                     best, pair = a + b, (a, b)
                 a = longest(a - 1)
-            if pair:
-                bin_.remove(small)
-                bin_ += [take(pair[0]), take(pair[1])]
-                free.setdefault(lengths[small], []).append(small)
-                mask |= 1 << lengths[small]
-        out.append(bin_)
+        for n in pair or ():
+            use(n, 1)
+            bin_[n] = bin_.get(n, 0) + 1
+            touched[n] = touched.get(n, 0) + 1
+        more = min(left[n] // k for n, k in touched.items())  # so often are all choices the same
+        if pair:
+            bin_[small] -= 1
+            left[small] += 1
+            mask |= 1 << small
+        bin_ = {n: k for n, k in bin_.items() if k}
+        for n, k in bin_.items() if more else ():
+            use(n, more * k)
+        out.append((bin_, 1 + more))
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece."""
+def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
+    """Sequences as lists of places in ``lengths``, by best-two-fit."""
+    free: dict[int, list[int]] = {}
+    for i, n in enumerate(lengths):
+        free.setdefault(n, []).append(i)
+    found = fillings({n: len(v) for n, v in free.items()}, capacity)
+    return [[free[n].pop() for n, k in bin_.items() for _ in range(k)] for bin_, times in found for _ in range(times)]
+
+
+#: Bits of a piece's number among those of its length.
+NUMBER_BITS = 40
+
+
+def layout(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
+    """Rows (key, pieces in a sequence, first sequence, first offset): where the pieces of a length go from a number on.
+
+    key: length << NUMBER_BITS | number, ascending. Pieces of one length stand side by side in a sequence.
+    """
+    rows, upto, sequence = [], dict.fromkeys(counts, 0), 0
+    for bin_, times in fillings(counts, capacity):
+        at = 0
+        for n, k in bin_.items():
+            rows.append((n << NUMBER_BITS | upto[n], k, sequence, at))
+            upto[n] += k * times
+            at += n * k
+        sequence += times
+    return np.array(sorted(rows), np.int64).reshape(-1, 4)
+
+
+def pieces_of(docs: DataFrame, tokenizer_file: str, capacity: int) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, and each piece's number among its partition's of that length."""
     with open(tokenizer_file, encoding="utf-8") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary: its size doesn't follow the data
     end = END_ID.to_bytes(4, "little")
@@ -159,32 +196,54 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACIT
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         chunks = worker_chunks(sent.value)
-        base = TaskContext.get().partitionId() << 32
-        doc, piece, start, length, crc = [], [], [], [], []
+        part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for b in batches:
             ids = b["doc_id"].to_pylist()
+            doc, piece, start, length, crc, number = [], [], [], [], [], []
             at = 0
-            for part in blocks(b["_text"].cast(pa.binary()).to_pylist()):
-                for raw in chunks.of(part):
+            for texts in blocks(b["_text"].cast(pa.binary()).to_pylist()):
+                for raw in chunks.of(texts):
                     raw += end
                     for k in range(0, len(raw), 4 * capacity):
                         cut = raw[k : k + 4 * capacity]
+                        n = len(cut) // 4
                         doc.append(ids[at])
                         piece.append(k // (4 * capacity))
                         start.append(k // 4)
-                        length.append(len(cut) // 4)
+                        length.append(n)
                         crc.append(zlib.crc32(cut))
+                        number.append(seen[n])
+                        seen[n] += 1
                     at += 1
-        sequence, offset = [0] * len(length), [0] * len(length)
-        for s, bin_ in enumerate(pack(length, capacity)):
-            place = 0
-            for i in bin_:
-                sequence[i], offset[i] = base + s, place
-                place += length[i]
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-        columns = [doc, pa.array(piece, pa.int32()), start, length, crc, sequence, offset]
-        columns = [c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns]
-        yield pa.RecordBatch.from_arrays(columns, names)
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "_part", "_number"]
+            columns = [doc, pa.array(piece, pa.int32()), start, length, crc, pa.array([part] * len(doc), pa.int32()), number]
+            columns = [c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, _part int, _number long"
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("_text")), run, schema)
+
+
+def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece."""
+    pieces = durable(pieces_of(docs, tokenizer_file, capacity))
+    counts = durable(pieces.groupBy("_part", "length").agg(F.count("*").alias("n")))  # at most capacity rows a partition
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("_part")) - F.col("n")
+    base = counts.select("_part", "length", before.alias("_base"))
+    total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
+    sent = docs.sparkSession.sparkContext.broadcast(layout(total, capacity))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, k, sequence, at = sent.value.T
+        keep = ["doc_id", "piece", "start", "length", "ids_crc32"]
+        for b in batches:
+            n = b["length"].to_numpy()
+            key = (n << NUMBER_BITS) + b["_base"].to_numpy() + b["_number"].to_numpy()
+            row = np.searchsorted(keys, key, "right") - 1
+            turn, place = np.divmod(key - keys[row], k[row])
+            new = [pa.array(sequence[row] + turn), pa.array(at[row] + place * n)]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), *new], [*keep, "sequence_id", "offset"])
+
+    rows = pieces.join(small_side(base, counts.count()), ["_part", "length"])
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    return map_batches(rows.select("doc_id", "piece", "start", "length", "ids_crc32", "_base", "_number"), run, schema)

@@ -53,6 +53,16 @@ def test_two_fit_beats_greedy():
     assert sorted(sorted([6, 3, 2, 2][i] for i in b) for b in packing.pack([6, 3, 2, 2], 10)) == [[2, 2, 6], [3]]
 
 
+def test_sequences_do_not_follow_the_partitions(spark):
+    rows = [(i, "a " * (1099 if i < 40 else 899)) for i in range(80)]  # 1,100 and 900 tokens: one of each fill a sequence
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(7, "doc_id")
+    got = packing.pack_documents(df, TOKENIZER).collect()
+    assert sorted(r["length"] for r in got) == [900] * 40 + [1100] * 40
+    assert {r["sequence_id"] for r in got} == set(range(40))
+    for s in range(40):
+        assert sorted((r["offset"], r["length"]) for r in got if r["sequence_id"] == s) in ([(0, 900), (900, 1100)], [(0, 1100), (1100, 900)])
+
+
 class Text(html.parser.HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
