@@ -6,9 +6,11 @@ buckets'. A model has filters of several widths over the words of the whole text
 and a logistic output. One embedding coordinate starts at the bucket's smoothed log odds in the
 training rows, the others at random, and all are trained.
 
-Thresholds are calibrated by language: on training rows kept out of the fit, the cut that parts the
-classes best is found for each guessed language, and the score is shifted on the logit scale so that
-this cut lies at 0.7. The language is guessed from the text by word counts per bucket; the ``lang``
+Thresholds are calibrated by language: all labelled training rows, of which at least a quarter is kept out
+of the fit, are scored with their whole texts and counted by guessed language, class and bin of the score.
+The cut that parts the classes best is found for each language, and the score is shifted on the logit scale
+so that this cut lies at 0.7. Only a language with fewer than five rows of a class takes the common cut. The
+fit takes whole texts of a sample in which every language of a class has its share. The language is guessed from the text by word counts per bucket; the ``lang``
 column of a row is never an input of its score.
 
 Defined results: null and empty texts get the score of a text without words; with no labelled row every
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import BROADCAST_ROWS, durable, map_batches, small_side
 from .nn import Adam, PooledConvolutions
 
 BUCKETS = 1 << 16
@@ -35,9 +37,12 @@ DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 CUT = 0.7
-#: Bound of the training sample: rows of each class, and characters taken from one text.
+#: Bound of the fitting sample: rows of each class.
 SAMPLE_PER_CLASS = 4000
-SAMPLE_CHARS = 16_000
+#: Rows of a class that a language needs for a cut of its own.
+OWN_CUT = 5
+#: Score bins a unit of the logit, and the largest logit that is told apart.
+BINS, TOP = 64, 30
 #: Letters of a word that are hashed: four, five, all (as far as that matters).
 STEMS = (4, 5, 40)
 #: Words of a training window.
@@ -78,22 +83,42 @@ class Buckets(dict):
         return self.table[at]
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> tuple[list[tuple], dict[int, int]]:
-    """(toxic, lang, text, for calibration) of at most ``per_class`` training rows of each class, and each class's size."""
-    one = (
+def labelled(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic: one row for each id with a label that is not held out."""
+    return (
         labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
         .filter("doc_id is not null and toxic in (0, 1)")
         .filter(~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
     )
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = one.withColumn("_rank", rank).filter(F.col("_rank") <= per_class).drop("_rank")
-    text = F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS)
-    rows = docs.select("doc_id", "lang", text.alias("text")).join(F.broadcast(chosen), "doc_id")  # at most 2 * per_class rows
-    got = rows.select("toxic", F.coalesce("lang", F.lit("")).alias("lang"), "text", (F.xxhash64("doc_id") % 4 == 0).alias("cal"))
-    sizes = {r["toxic"]: r["count"] for r in one.groupBy("toxic").count().collect()}
-    return sorted({tuple(r) for r in got.collect()}), sizes
+
+
+def quotas(sizes: dict[tuple[int, str], int], per_class: int) -> dict[tuple[int, str], int]:
+    """Rows of each (class, language): equal shares of the class, and what small languages leave goes to the others."""
+    out = {}
+    for c in {k[0] for k in sizes}:
+        mine = sorted((n, k) for k, n in sizes.items() if k[0] == c)
+        rest = per_class
+        for i, (n, k) in enumerate(mine):
+            out[k] = min(n, max(1, rest // (len(mine) - i)))
+            rest -= out[k]
+    return out
+
+
+def sample(docs: DataFrame, one: DataFrame, rows: int, per_class: int = SAMPLE_PER_CLASS) -> list[tuple]:
+    """(toxic, lang, whole text, kept out of the fit) of about ``per_class`` of the ``rows`` rows of ``one`` a class, by language."""
+    lang = F.coalesce("lang", F.lit("")).alias("lang")
+    found = durable(docs.select("doc_id", lang).join(small_side(one, rows), "doc_id").groupBy("doc_id", "toxic").agg(F.min("lang").alias("lang")))
+    share = quotas({(r["toxic"], r["lang"]): r["count"] for r in found.groupBy("toxic", "lang").count().collect()}, per_class)
+    if not share:
+        return []
+    rank = F.row_number().over(Window.partitionBy("toxic", "lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    limit = docs.sparkSession.createDataFrame([(*k, n) for k, n in share.items()], "toxic int, lang string, _most int")
+    chosen = found.withColumn("_rank", rank).filter(F.col("_rank") <= per_class).join(F.broadcast(limit), ["toxic", "lang"]).filter("_rank <= _most")
+    chosen = chosen.select("doc_id", "toxic", (F.col("_rank") % 4 == 0).alias("cal"))
+    got = docs.select("doc_id", lang, F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # about 2 * per_class rows
+    return sorted({tuple(r) for r in got.select("toxic", "lang", "text", "cal").collect()})
 
 
 def _log_odds(ids: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -106,14 +131,15 @@ def _log_odds(ids: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.log((n[1] + prior) / (a + 2 * prior)) - np.log((n[0] + prior * b / a) / (b + 2 * prior * b / a))
 
 
-def train(rows: list[tuple], sizes: dict[int, int], epochs: int = 6, batch: int = 64, seed: int = 11) -> dict:
+def train(rows: list[tuple], epochs: int = 6, batch: int = 64, seed: int = 11) -> dict:
+    """The model, its thresholds not calibrated."""
     if len({r[0] for r in rows}) < 2:
         return {}
     to = Buckets()
     ids = [to.of(r[2]) for r in rows]
     y = np.array([r[0] for r in rows])
     cal = np.array([r[3] for r in rows])
-    if len(set(y[~cal])) < 2 or len(set(y[cal])) < 2:
+    if len(set(y[~cal])) < 2:
         cal[:] = False
     odds = _log_odds([x for x, c in zip(ids, cal, strict=True) if not c], y[~cal])
     net = PooledConvolutions(BUCKETS, DIM, WIDTHS, FILTERS, 2, seed)
@@ -156,23 +182,47 @@ def train(rows: list[tuple], sizes: dict[int, int], epochs: int = 6, batch: int
             np.add.at(guess[:, langs.index(r[1])], words.ravel(), 1)
     guess[0] = 1
     guess = np.log(guess / guess.sum(0))
-    model = {**net.p, "guess": (guess - guess.mean(1, keepdims=True)).astype(np.float32), "shift": np.zeros(guess.shape[1])}
-    where = np.flatnonzero(cal) if cal.any() else np.arange(len(rows))
-    class_weight = np.array([sizes[v] / max(1, int((y == v).sum())) for v in (0, 1)])[y[where]]
-    logit, lang = raw_scores(model, [ids[k] for k in where])
-    whole = _best_cut(logit, y[where], class_weight)
-    for c in range(guess.shape[1]):
+    return {**net.p, "guess": (guess - guess.mean(1, keepdims=True)).astype(np.float32), "shift": np.zeros(guess.shape[1])}
+
+
+def calibrate(model: dict, counts: list[tuple[int, int, int, int]]) -> dict:
+    """The model with each language's cut, from (guessed language, class, bin, rows)."""
+    lang, y, z, n = np.array(counts, np.float64).reshape(-1, 4).T
+    z = (z + 0.5) / BINS
+    if len(set(y)) < 2:
+        return model
+    whole, shift = _best_cut(z, y, n), np.zeros(len(model["shift"]))
+    for c in range(len(shift)):
         own = lang == c
-        few = min((y[where][own] == v).sum() for v in (0, 1)) < 5
-        model["shift"][c] = whole if few else _best_cut(logit[own], y[where][own], class_weight[own])
-    return model
+        few = min(n[own & (y == v)].sum() for v in (0, 1)) < OWN_CUT
+        shift[c] = whole if few else _best_cut(z[own], y[own], n[own])
+    return {**model, "shift": shift}
+
+
+def histogram(docs: DataFrame, one: DataFrame, rows: int, model: dict) -> list[tuple[int, int, int, int]]:
+    """(guessed language, class, bin, rows) over the whole texts of all rows of ``one``; at most a row a bin."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to = Buckets()
+        for b in batches:
+            logit, lang = whole_scores(sent.value, to, b["_text"].to_pylist())
+            bins = np.floor(np.clip(logit, -TOP, TOP) * BINS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(lang.astype(np.int32)), pa.array(bins)], ["doc_id", "guess", "bin"])
+
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
+    if rows <= BROADCAST_ROWS:  # beyond it all texts are scored, as only the scores can be shuffled cheaply
+        texts = texts.join(F.broadcast(one.select("doc_id")), "doc_id", "left_semi")
+    scored = map_batches(texts, run, f"doc_id {dict(docs.dtypes)['doc_id']}, guess int, bin int")
+    counts = scored.join(small_side(one, rows), "doc_id").groupBy("guess", "toxic", "bin").count()
+    return [tuple(r) for r in counts.collect()]
 
 
 def _best_cut(logit: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
-    """The cut with the fewest errors (weighted to the classes' true sizes), in the widest gap among equals."""
-    order = np.argsort(logit, kind="stable")
-    z, t, w = logit[order], y[order], weight[order]
-    errors = np.concatenate([[0], np.cumsum(w * (t == 1))]) + np.concatenate([np.cumsum((w * (t == 0))[::-1])[::-1], [0]])
+    """The cut with the least weight of errors, in the widest gap among equals."""
+    z, at = np.unique(logit, return_inverse=True)
+    toxic, clean = (np.bincount(at, weight * (y == v), len(z)) for v in (1, 0))
+    errors = np.concatenate([[0], np.cumsum(toxic)]) + np.concatenate([np.cumsum(clean[::-1])[::-1], [0]])
     errors = np.round(errors, 6)
     edges = np.concatenate([[z[0] - 2], z, [z[-1] + 2]])
     gap = edges[1:] - edges[:-1]
@@ -204,6 +254,19 @@ def raw_scores(model: dict, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarr
     return (out[:, 1] - out[:, 0]).astype(np.float64), lang
 
 
+def whole_scores(model: dict, to: Buckets, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``raw_scores`` of whole texts, some 100,000 words at a time."""
+    logit, lang, i = np.zeros(len(texts)), np.zeros(len(texts), np.int64), 0
+    while i < len(texts):
+        ids, count, first = [], 0, i
+        while i < len(texts) and count < 100_000:
+            ids.append(to.of(texts[i]))
+            count += len(ids[-1])
+            i += 1
+        logit[first:i], lang[first:i] = raw_scores(model, ids)
+    return logit, lang
+
+
 def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns, score and predicted, from the whole text alone."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -213,16 +276,10 @@ def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -
         for b in batches:
             score = np.zeros(len(b))
             texts = b["_text"].to_pylist()
-            i = 0
-            while m and i < len(texts):
-                ids, count, first = [], 0, i
-                while i < len(texts) and count < 100_000:
-                    ids.append(to.of(texts[i]))
-                    count += len(ids[-1])
-                    i += 1
-                logit, lang = raw_scores(m, ids)
+            if m:
+                logit, lang = whole_scores(m, to, texts)
                 z = logit - m["shift"][lang] + np.log(CUT / (1 - CUT))
-                score[first:i] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             new = [pa.array(score), pa.array((score >= CUT).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), *new], [*keep, "score", "predicted"])
 
@@ -232,4 +289,7 @@ def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
-    return train(*sample(docs, labels))
+    one = durable(labelled(labels))
+    rows = one.count()
+    model = train(sample(docs, one, rows))
+    return calibrate(model, histogram(docs, one, rows, model)) if model else model

@@ -89,6 +89,34 @@ def test_toxicity_edges(spark):
     assert toxicity.predict(odd.limit(0), model).collect() == []
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    rows = [(i, "en", "good day " * 2500 + ("idiot" if i % 2 else "friend")) for i in range(60)]  # the word stands at letter 22,500
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = toxicity.fit(df, df.selectExpr("doc_id", "cast(doc_id % 2 as int) toxic"))
+    new = spark.createDataFrame([(1, "good day idiot"), (2, "good day friend")], "doc_id long, text string")
+    assert {r["doc_id"]: r["predicted"] for r in toxicity.predict(new, model).collect()} == {1: 1, 2: 0}
+
+
+def test_every_language_has_its_cut_and_share(spark):
+    rows = [(i, "aa", "good day " * 5 + ("idiot" if i % 2 else "friend")) for i in range(400)]
+    rows += [(1000 + i, "bb", "guten tag " * 9 + ("du depp idiot" if i % 2 else "mein freund")) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    one = toxicity.labelled(df.selectExpr("doc_id", "cast(doc_id % 2 as int) toxic")).cache()
+    few = toxicity.sample(df, one, one.count(), 40)
+    trained = {r[0] for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1}
+    sizes = collections.Counter((i % 2, "bb" if i >= 1000 else "aa") for i in trained)
+    assert toxicity.quotas(sizes, 40) == {k: n if k[1] == "bb" else 40 - sizes[k[0], "bb"] for k, n in sizes.items()}
+    assert {(r[0], r[1]) for r in few} == set(sizes)
+    model = toxicity.fit(df, one)
+    counts = toxicity.histogram(df, one, one.count(), model)
+    assert sum(r[3] for r in counts) == len(trained)  # every labelled training row counts
+    assert {(r[0], r[1]) for r in counts} == {(c, v) for c in (0, 1) for v in (0, 1)}
+    assert model["shift"][0] != model["shift"][1]  # some ten toxic rows are enough for a cut
+    # a language with too few rows takes the common cut, and each other one its own
+    cut = toxicity.calibrate({"shift": np.zeros(3)}, [(0, 0, -64, 50), (0, 1, 64, 50), (1, 0, 320, 9), (1, 1, 448, 9), (2, 1, 0, 4)])["shift"]
+    assert cut[0] == pytest.approx(0.5 / 64) and cut[1] == pytest.approx(6 + 0.5 / 64) and cut[2] not in (cut[1], 0)
+
+
 @pytest.mark.parametrize("bad", [float("nan")])
 def test_best_cut_prefers_the_widest_gap(bad):
     cut = toxicity._best_cut(np.array([-4.0, -3, 2, 3]), np.array([0, 0, 1, 1]), np.ones(4))
