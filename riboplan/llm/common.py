@@ -42,15 +42,20 @@ def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if rows <= limit else df
 
 
-#: Rows of a batch between Spark and Python: texts and sets are long, and two batches a task must fit.
-BATCH_ROWS = 2_000
+#: Bytes of a batch between Spark and Python: texts are long, and two batches a task must fit.
+BATCH_BYTES = 4_000_000
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` in batches of at most BATCH_ROWS rows, after which a worker gives its memory back."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    """``mapInArrow`` in batches of about BATCH_BYTES at most, after which a worker gives its memory back.
+
+    The bound is the session's, read when a plan runs, so it stays set; it changes no result. One in other units
+    than bytes, or a smaller one, is the user's and is kept.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name).removesuffix("b")
+    if now.isdigit() and int(now) > BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
