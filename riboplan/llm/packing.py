@@ -1,8 +1,8 @@
 """Best-two-fit packing of tokenized documents into sequences of bounded length.
 
-Tokens: the tokenizer of a JSON file drops white space, so the ids of a text are those of its chunks
-between ASCII white space in order; chunks are tokenized once and looked up after that. An end id
-follows each document. Documents longer than a sequence are cut into full pieces and a remainder.
+Tokens: a tokenizer that lowers case and drops white space, as its JSON file tells, gives a text the ids of its chunks
+between ASCII white space in order; chunks are tokenized once and looked up after that. With any other
+file whole texts are tokenized. An end id follows each document. Documents longer than a sequence are cut into full pieces and a remainder.
 
 Packing, over all documents at once: a sequence is filled greedily with the longest piece that fits. If a
 gap remains, its smallest piece is replaced by the two unpacked pieces that fit the expanded gap most
@@ -18,7 +18,9 @@ sequences are numbered from 0 without gaps, and pieces are numbered in a durable
 
 from __future__ import annotations
 
+import json
 import os
+import string
 import struct
 import sys
 import unicodedata
@@ -41,75 +43,103 @@ END_ID = 0
 #: The byte-level alphabet: each byte as the character that the vocabulary spells it with.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _LETTERS = {b: b for b in _PRINTABLE} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-_MARKS = ".,;:!?"
+#: ASCII marks but the apostrophe, which may begin a piece of its own.
+_MARKS = string.punctuation.replace("'", "")
+
+# The normalizer and the splitter (of a tokenizer file) that chunks are right for.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 class Chunks(dict):
-    """Chunk (UTF-8) -> its ids as little-endian 32-bit bytes; emptied at a fixed size.
+    """Chunk (UTF-8) -> its ids as little-endian 32-bit bytes, for files with NORMALIZER and SPLITTER.
 
-    Plain chunks, which are Latin letters with marks behind them, are what the tokenizer's normalizer and
-    splitter leave as one word and one run of marks; those go straight to its model, which spares the
+    Plain chunks, which are Latin letters with marks before and behind them, are what the normalizer and
+    splitter leave as one word and a run of marks on each side; those go straight to the model, which spares the
     bookkeeping of offsets. All others take the whole tokenizer. The tokenizer lowers case, so chunks are
     looked up in lower case, but not where a text may spell a special string.
+
+    When GENERATION_BYTES are held, they become the old generation and the one before is dropped; chunks
+    that are met again are taken over from the old one, so what is frequent stays.
     """
 
-    LIMIT = 400_000
+    GENERATION_BYTES = 60_000_000
+    #: A key, a value and their place in the dictionary, besides their own bytes.
+    ENTRY_BYTES = 170
 
     def __init__(self, tokenizer) -> None:
         self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.old: dict[bytes, bytes] = {}
+        self.held = 0
 
-    def _model_ids(self, piece: str) -> bytes:
+    def _model_ids(self, piece: str) -> list[int]:
         spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
-        ids = [t.id for t in self.model.tokenize(spelled)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return [t.id for t in self.model.tokenize(spelled)]
 
     def _ids(self, chunk: bytes) -> bytes:
         text = chunk.decode()
-        word = text.rstrip(_MARKS)
-        plain = word.isalpha() and (word.isascii() or (max(word) < "\u0250" and unicodedata.is_normalized("NFC", word) and word.lower().isalpha()))
-        if not plain:
+        front = text.lstrip(_MARKS)
+        word = front.rstrip(_MARKS)
+        plain = "<|" not in text and word.isalpha() and (word.isascii() or (max(word) < "\u0250" and unicodedata.is_normalized("NFC", word) and word.lower().isalpha()))
+        if plain:
+            ids = self._model_ids(word.lower())
+            if len(front) < len(text):
+                ids = self._model_ids(text[: len(text) - len(front)]) + ids
+            if len(word) < len(front):
+                ids += self._model_ids(front[len(word) :])
+        else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-        out = self._model_ids(word.lower())
-        return out + self._model_ids(text[len(word) :]) if len(text) > len(word) else out
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self._ids(chunk)
+        self[chunk] = ids
+        self.held += len(chunk) + len(ids) + self.ENTRY_BYTES
+        return ids
+
+    def of(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text."""
+        for t in texts:
+            if self.held > self.GENERATION_BYTES:
+                self.old = self.copy()
+                self.clear()
+                self.held = 0
+            yield b"".join(map(self.__getitem__, (t if b"<|" in t else t.lower()).split()))
+
+
+class Whole:
+    """The ids of whole texts, for a file of another kind."""
 
-    def learn(self, words: set[bytes]) -> None:
-        for w in words:
-            self[w] = self._ids(w)
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer = tokenizer
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text; chunks that are new in a block of texts are tokenized together."""
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        if len(self) > self.LIMIT:
-            self.clear()
-        self.learn(set().union(*split).difference(self.keys()))
-        for ws in split:
-            yield b"".join(map(self.__getitem__, ws))
+        for t in texts:
+            ids = self.tokenizer.encode(t.decode(), add_special_tokens=False).ids
+            yield struct.pack(f"<{len(ids)}I", *ids)
 
 
-def worker_chunks(tokenizer_json: str) -> Chunks:
+def worker_chunks(tokenizer_json: str) -> Chunks | Whole:
     """The chunks that this Python worker knows already: Spark runs many tasks in one worker process."""
     state = sys.modules.setdefault("riboplan_worker_state", ModuleType("riboplan_worker_state")).__dict__
     name = f"chunks {zlib.crc32(tokenizer_json.encode())}"
     if name not in state:
         from tokenizers import Tokenizer
 
-        state[name] = Chunks(Tokenizer.from_str(tokenizer_json))
+        file = json.loads(tokenizer_json)
+        by_chunks = file["normalizer"] == NORMALIZER and file["pre_tokenizer"] == SPLITTER and file["model"]["type"] == "BPE"
+        state[name] = (Chunks if by_chunks else Whole)(Tokenizer.from_str(tokenizer_json))
     return state[name]
 
 
-def blocks(texts: list[bytes], size: int = 2_000_000) -> Iterator[list[bytes]]:
-    part: list[bytes] = []
-    total = 0
-    for t in texts:
-        part.append(t)
-        total += len(t)
-        if total >= size:
-            yield part
-            part, total = [], 0
-    yield part
-
-
 def fillings(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
     """(pieces of each length in a sequence, number of such sequences), by best-two-fit."""
     left = {n: c for n, c in counts.items() if c > 0}
@@ -200,21 +230,18 @@ def pieces_of(docs: DataFrame, tokenizer_file: str, capacity: int) -> DataFrame:
         for b in batches:
             ids = b["doc_id"].to_pylist()
             doc, piece, start, length, crc, number = [], [], [], [], [], []
-            at = 0
-            for texts in blocks(b["_text"].cast(pa.binary()).to_pylist()):
-                for raw in chunks.of(texts):
-                    raw += end
-                    for k in range(0, len(raw), 4 * capacity):
-                        cut = raw[k : k + 4 * capacity]
-                        n = len(cut) // 4
-                        doc.append(ids[at])
-                        piece.append(k // (4 * capacity))
-                        start.append(k // 4)
-                        length.append(n)
-                        crc.append(zlib.crc32(cut))
-                        number.append(seen[n])
-                        seen[n] += 1
-                    at += 1
+            for doc_id, raw in zip(ids, chunks.of(b["_text"].cast(pa.binary()).to_pylist()), strict=True):
+                raw += end
+                for k in range(0, len(raw), 4 * capacity):
+                    cut = raw[k : k + 4 * capacity]
+                    n = len(cut) // 4
+                    doc.append(doc_id)
+                    piece.append(k // (4 * capacity))
+                    start.append(k // 4)
+                    length.append(n)
+                    crc.append(zlib.crc32(cut))
+                    number.append(seen[n])
+                    seen[n] += 1
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "_part", "_number"]
             columns = [doc, pa.array(piece, pa.int32()), start, length, crc, pa.array([part] * len(doc), pa.int32()), number]
             columns = [c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns]

@@ -198,3 +198,38 @@ def test_pipeline_edges(spark, tmp_path):
             if rows and name == "near_duplicates":
                 assert sorted((r["doc_id"] for r in docs.collect()), key=str) == [1, None]
         assert (docs.count() > 0) == bool(rows)
+
+
+def test_chunks_equal_the_tokenizer():
+    import random
+    import string
+    import struct
+
+    from tokenizers import Tokenizer
+
+    with open(TOKENIZER, encoding="utf-8") as f:
+        chunks = packing.worker_chunks(f.read())
+    assert isinstance(chunks, packing.Chunks)
+    chunks = packing.Chunks(Tokenizer.from_file(TOKENIZER))
+    chunks.GENERATION_BYTES = 20_000  # generations turn over
+    rng = random.Random(5)
+    letters = [*"abcABCéñÀßŉ²́ 1\n", *string.punctuation, "<|endoftext|>", "'s", "'LL"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    for text, got in zip(texts, chunks.of([t.encode() for t in texts]), strict=True):
+        ids = chunks.tokenizer.encode(text, add_special_tokens=False).ids
+        assert got == struct.pack(f"<{len(ids)}I", *ids), text
+    assert chunks.old
+
+
+def test_another_kind_of_file_takes_whole_texts():
+    import json
+    import struct
+
+    from tokenizers import Tokenizer
+
+    with open(TOKENIZER, encoding="utf-8") as f:
+        file = json.load(f)
+    file["normalizer"] = None
+    other = json.dumps(file)
+    ids = Tokenizer.from_str(other).encode("Two WORDS two", add_special_tokens=False).ids
+    assert list(packing.worker_chunks(other).of([b"Two WORDS two"])) == [struct.pack(f"<{len(ids)}I", *ids)]
