@@ -10,7 +10,7 @@ from riboplan.functions import cigar as cg
 from riboplan.functions import circular as circ
 from riboplan.functions import scoring as sc
 from riboplan.functions.edit_distance import locate_udf
-from riboplan.functions.seq import canonical_code, kmers, revcomp
+from riboplan.functions.seq import kmers, revcomp
 from riboplan.operators import align as al
 from riboplan.operators import minimizers as mz
 from riboplan.operators import rrna
@@ -40,7 +40,7 @@ def revcomp_reads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kmer_encode(spark: SparkSession, d: str) -> DataFrame:
-    return _reads(spark, d).select("ordinal", F.explode(F.transform(kmers(F.col("seq"), K), lambda x: canonical_code(x["kmer"]))).alias("code"))
+    return mz.canonical_codes(_reads(spark, d), K)
 
 
 def kmer_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -236,7 +236,7 @@ _VOTES = """SELECT ordinal, strand, contig, bin, votes FROM (SELECT *, row_numbe
 _WINDOWS = """SELECT ordinal, strand, contig, min(s) AS start0, max(e) AS end0, CAST(sum(v) AS BIGINT) AS hits FROM (SELECT *, sum(o) OVER
  (PARTITION BY ordinal, strand, contig ORDER BY s, e ROWS UNBOUNDED PRECEDING) isl FROM (SELECT *, CASE WHEN max(e) OVER (PARTITION BY ordinal, strand, contig
  ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)+250>=s THEN 0 ELSE 1 END o FROM (SELECT ordinal, strand, contig, greatest(0,bin*20-250) s,
- bin*20+150+250 e, CAST(votes AS INT) v FROM votes) WHERE e>s)) GROUP BY ordinal, strand, contig, isl"""
+ bin*20+length(seq)+250 e, CAST(votes AS INT) v FROM votes JOIN v_reads USING (ordinal)) WHERE e>s)) GROUP BY ordinal, strand, contig, isl"""
 _PROBES = "SELECT DISTINCT substr(seq,CAST(i+1 AS INT),11) km FROM v_probes, generate_series(0,length(seq)-11) g(i) WHERE length(seq)>=11"
 _RHITS = "SELECT ordinal, count(*) n FROM (SELECT ordinal, substr(seq,CAST(i+1 AS INT),11) km FROM v_reads, generate_series(0,length(seq)-11) g(i)) JOIN probes USING (km) GROUP BY ALL HAVING count(*)>=20"
 _OPS = """SELECT id, pos0, cigar, regexp_extract_all(cigar,'(\\d+)[MIDNSHP=X]',1) ns, regexp_extract_all(cigar,'\\d+([MIDNSHP=X])',1) os FROM v_cigars"""
@@ -256,13 +256,13 @@ def _flag(me: str, mate: str, first: int) -> str:
  +CASE WHEN mapped1 AND mapped2 AND {_PROPER} THEN 2 ELSE 0 END AS INT)"""
 
 
-_PAIRS = "SELECT CAST(ordinal/4 AS BIGINT) ordinal, name FROM v_reads a WHERE ordinal%4=0 AND EXISTS (SELECT 1 FROM v_reads b WHERE b.ordinal=a.ordinal+1)"
-_RHITS2 = f"""SELECT ordinal, count(*) n FROM (SELECT ordinal, substr(s,CAST(i+1 AS INT),11) km FROM (SELECT ordinal, CASE WHEN ordinal%4=1 THEN {_rc('seq')} ELSE seq END s FROM v_reads),
+_PAIRS = "SELECT ordinal//2 AS ordinal, name FROM v_reads WHERE ordinal%2=0"
+_RHITS2 = f"""SELECT ordinal, count(*) n FROM (SELECT ordinal, substr(s,CAST(i+1 AS INT),11) km FROM (SELECT ordinal, CASE WHEN ordinal%2=1 THEN {_rc('seq')} ELSE seq END s FROM v_reads),
  generate_series(0,length(s)-11) g(i)) JOIN probes USING (km) GROUP BY ALL HAVING count(*)>=20"""
 
 ORACLES = {
     "revcomp_reads": with_views("reads") + f"SELECT ordinal, {_rc('seq')} AS rc FROM v_reads",
-    "kmer_encode": with_views("reads") + f"SELECT ordinal, {_canon(f'substr(seq,1,{K})', K)} AS code FROM v_reads",
+    "kmer_encode": with_views("reads") + f"SELECT ordinal, {_canon('km', K)} AS code FROM (SELECT ordinal, substr(seq,CAST(i+1 AS INT),{K}) km FROM v_reads, generate_series(0,length(seq)-{K}) g(i))",
     "kmer_counts": with_views("reads") + "SELECT substr(seq,CAST(i+1 AS INT),9) AS kmer, count(*) AS n FROM v_reads, generate_series(0,length(seq)-9) g(i) GROUP BY ALL",
     "minimizer_index": with_views("contigs", **_IDX) + "SELECT * FROM idx",
     "posting_lists": with_views("contigs", **_IDX) + "SELECT contig, seed, string_agg(CAST(pos AS STRING), ',' ORDER BY pos) AS positions FROM idx GROUP BY ALL",
@@ -273,7 +273,7 @@ ORACLES = {
     "window_votes": with_views("contigs", "reads", **_HITS) + _VOTES,
     "candidate_windows": with_views("contigs", "reads", **_HITS, votes=_VOTES) + _WINDOWS,
     "rrna_filter": with_views("reads", "probes", probes=_PROBES, rh=_RHITS) + "SELECT ordinal, name FROM v_reads WHERE ordinal NOT IN (SELECT ordinal FROM rh)",
-    "rrna_filter_pairs": with_views("reads", "probes", probes=_PROBES, rh=_RHITS2, pairs=_PAIRS) + "SELECT ordinal, name FROM pairs WHERE ordinal NOT IN (SELECT CAST(floor(ordinal/4) AS BIGINT) FROM rh WHERE ordinal%4<2)",
+    "rrna_filter_pairs": with_views("reads", "probes", probes=_PROBES, rh=_RHITS2, pairs=_PAIRS) + "SELECT ordinal, name FROM pairs WHERE ordinal NOT IN (SELECT ordinal//2 FROM rh)",
     "rrna_report": with_views("reads", "probes", probes=_PROBES, rh=_RHITS) + "SELECT examined, filtered, examined-filtered AS retained, round(100.0*filtered/examined,6) AS percent_filtered FROM (SELECT count(*) AS examined FROM v_reads), (SELECT count(*) AS filtered FROM rh)",
     "cigar_ref_length": with_views("cigars", ops=_OPS, oprows=_OPROWS, placed=_PLACED) + "SELECT id, cigar, CAST(sum(CASE WHEN o IN ('M','D','N','=','X') THEN n ELSE 0 END) AS INT) AS ref_len, CAST(sum(CASE WHEN seen=0 AND o IN ('D','N') THEN n ELSE 0 END) AS INT) AS lead FROM placed GROUP BY ALL",
     "cigar_blocks": with_views("cigars", ops=_OPS, oprows=_OPROWS, placed=_PLACED) + "SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY k)-1 AS INT) AS block, CAST(pos0+before AS BIGINT) AS block_start, CAST(pos0+before+n AS BIGINT) AS block_end FROM placed WHERE o IN ('M','=','X')",
