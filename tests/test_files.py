@@ -189,6 +189,30 @@ def test_streaming_pairs(spark, tmp_path, monkeypatch):
     assert got == [("a", 1, 3, False), ("b", 2, 4, False), ("d", 6, 7, False)]
 
 
+def test_streaming_orphans(spark, tmp_path):
+    import datetime as dt
+
+    schema = "qname string, arrival long, ts timestamp"
+    day = lambda minute: dt.datetime(2024, 1, 1, 0, minute)
+    folder, found = f"{tmp_path}/in", []
+
+    def drained(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = mates.pair_stream(mates.reads_stream(spark, folder, schema), "ts", late_ms=300_000)
+        keep = lambda df, _: found.extend(tuple(r) for r in df.collect())
+        query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/ck").outputMode("append").trigger(availableNow=True).start()
+        try:
+            assert query.awaitTermination(120)
+        finally:
+            query.stop()
+
+    drained([("a", 1, day(0)), ("b", 2, day(0)), ("c", 3, day(0))])
+    assert found == []  # all still wait
+    drained([("b", 4, day(0)), ("d", 5, day(9))])
+    drained([("e", 6, day(9)), ("d", 7, day(9))])
+    assert sorted(found, key=str) == [("a", 1, None, True), ("b", 2, 4, False), ("c", 3, None, True), ("d", 5, 7, False)]
+
+
 def test_index_format_is_checked(spark, tmp_path):
     spark.createDataFrame([('{"format": "other"}',)], "value string").coalesce(1).write.text(f"{tmp_path}/i/about")
     with pytest.raises(ValueError, match="not an index"):
