@@ -12,6 +12,10 @@ Plain text: comments, scripts, styles, heads and templates go (a head without an
 thing that can't stand in one; a template, noscript, svg or iframe closed by "/>" is empty), block elements end a line, entities are
 decoded, white space within a line becomes one space, blank lines go.
 
+Markup is read in one forward pass, so a broken page takes time in proportion to its length, too: what has no end is
+text (a tag) or goes on to the end of the page (a comment, a silent element). Links within comments, scripts and
+styles are none.
+
 Defined results: null html is an empty payload and gives an empty text; a null url leaves the target
 field out; control characters and spaces in a url are percent-encoded; null ids pass through; repeated
 rows give equal records; a block that is not a response record gives null derivatives.
@@ -20,6 +24,7 @@ rows give equal records; a block that is not a response record gives null deriva
 from __future__ import annotations
 
 import base64
+import bisect
 import gzip
 import hashlib
 import html as entities
@@ -43,25 +48,21 @@ BLOCK = (
     "header hr li main nav ol p pre section table td th tr ul body html title option"
 ).split()
 
-_TAG = r"""(?:"[^"]*"|'[^']*'|[^'">])*"""
-#: A head and what may stand in one; its end tag may be left out, and anything else ends it, too.
-_HEAD = (
-    rf"<head\b{_TAG}>(?:\s+|<!--.*?(?:-->|\Z)|<[!?]{_TAG}>|<title\b{_TAG}>.*?</title\s*>"
-    rf"|<(?P<h>script|style|template|noscript|noframes)\b{_TAG}>.*?(?:</(?P=h)\s*>|\Z)"
-    rf"|<(?:title|meta|link|base|basefont|bgsound)\b{_TAG}>|</(?!(?:head|body|html|br)\b)[a-z]{_TAG}>)*(?:</head\s*>)?"
-)
-#: Scripts and styles are not closed by "/>".
-_EMPTY = rf"""<(?:template|noscript|svg|iframe)\b(?:{_TAG}(?<=[\s"']))?/>"""
-_DROP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|{_HEAD}|{_EMPTY}|<(?P<s>" + "|".join(SILENT[1:]) + rf")\b{_TAG}>.*?(?:</(?P=s)\s*>|\Z)", re.S | re.I
-)
-_BREAK = re.compile(r"</?(?:" + "|".join(BLOCK) + rf")\b{_TAG}>", re.I)
-_ANY = re.compile(rf"</?[a-zA-Z!?]{_TAG}>")
+#: Elements whose content is no markup either.
+RAW = "script style iframe".split()
+# What may stand in a head.
+HEAD_RAW = "script style template noscript noframes".split()
+HEAD_VOID = "title meta link base basefont bgsound".split()
+LINKED = {"a": "href", "img": "src", "link": "href", "script": "src", "iframe": "src", "area": "href"}
+
+_TAG_END = re.compile(r"""(?:"[^"]*+"|'[^']*+'|[^'">])*+>""")
+_OPEN = re.compile(r"(/?)(?:([a-zA-Z]\w*+)|[!?])")
+_CLOSERS = {name: re.compile(rf"</{name}\s*+>", re.I) for name in {*SILENT, *HEAD_RAW, "title"}} | {"]]>": re.compile(r"\]\]>")}
 _SPACE = re.compile(r"[^\S\n]+")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"""<(a|img|link|script|iframe|area)\b[^>]*?\s(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_META = re.compile(r"<meta\b([^>]*)>", re.I)
-_ATTR = re.compile(r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+_ATTR = re.compile(r"""(?<![\w:-])([\w:-]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']\S*+))""")
+_EMPTY = re.compile(r"""(?:^\w+|[\s"'])/$""")
+#: Character references beyond any character; a digit too many for ``int`` must not stop a page.
+_BEYOND = re.compile(r"&#(?:0*+[0-9]{8,}+|[xX]0*+[0-9a-fA-F]{8,}+);?")
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -107,9 +108,138 @@ def response(url: str | None, html: str | None) -> bytes:
     return serialize(fields, block)
 
 
+def _unescape(text: str) -> str:
+    return entities.unescape(_BEYOND.sub("\ufffd", text))
+
+
+class Page:
+    """One forward pass over a page's markup: ``text`` (not yet decoded), ``title``, ``metas`` and ``links``.
+
+    No place is scanned again from its start: a tag, comment or silent element is left at its end, an end that is
+    not there is looked for once, and the ends of tags behind an open quote come from one table. So time is linear.
+    """
+
+    def __init__(self, html: str) -> None:
+        self.html, self.out = html, []
+        self.title: str | None = None
+        self.metas: list[dict[str, str]] = []
+        self.links: list[dict[str, str]] = []
+        self._closers: dict[str, tuple[int, int] | None] = {}
+        self._ends: dict[int, int] | None = None
+        self._scan()
+        self.text = "".join(self.out)
+
+    def _tag_end(self, at: int) -> int:
+        """Place of the ">" that ends the tag whose name begins at ``at``, quotes skipped; -1 if there is none."""
+        if self._ends is None:
+            found = _TAG_END.match(self.html, at)
+            if found:
+                return found.end() - 1
+            # from the last mark to the first: a ">" ends here, a quote goes on behind its partner
+            marks = [(m.start(), m[0]) for m in re.finditer("[>\"']", self.html)]
+            self._marks, self._ends, after, partner = [p for p, _ in marks], {}, {}, {}
+            following = -1  # the mark behind this one
+            for p, c in reversed(marks):
+                end = p if c == ">" else after.get(partner[c], -1) if c in partner else -1
+                self._ends[p] = end
+                after[p] = self._ends[following] if following >= 0 else -1
+                if c != ">":
+                    partner[c] = p
+                following = p
+        k = bisect.bisect_left(self._marks, at)
+        return self._ends[self._marks[k]] if k < len(self._marks) else -1
+
+    def _closer(self, name: str, at: int) -> tuple[int, int] | None:
+        """Begin and end of the first end tag of ``name`` (or "]]>") from ``at`` on."""
+        last = self._closers.get(name, (-1, -1))
+        if last is not None and last[0] < at:
+            found = _CLOSERS[name].search(self.html, at)
+            last = self._closers[name] = found.span() if found else None
+        return last
+
+    def _attributes(self, name: str, begin: int, end: int) -> None:
+        pairs = ((k.lower(), a or b or c) for k, a, b, c in _ATTR.findall(self.html, begin, end))
+        if name == "meta":
+            self.metas.append(dict(pairs))
+            return
+        url = next((v for k, v in pairs if k in ("href", "src")), None)
+        if url is not None:
+            self.links.append({"path": f"{name.upper()}@/{LINKED[name]}", "url": _unescape(url)})
+
+    def _scan(self) -> None:
+        html, out = self.html, self.out
+        at, head, silent = 0, False, -1  # within a head; up to where tags only give links
+        while True:
+            lt = html.find("<", at)
+            text = html[at : lt if lt >= 0 else len(html)]
+            if text and at >= silent and (not head or text.strip()):
+                head = False
+                out.append(text)
+            if lt < 0:
+                return
+            if html.startswith("!", lt + 1):
+                if html.startswith("--", lt + 2):
+                    end = html.find("-->", lt + 4)
+                    at = end + 3 if end >= 0 else len(html)
+                    out.append(" " if not head else "")
+                    continue
+                if not head and html.startswith("[CDATA[", lt + 2) and (close := self._closer("]]>", lt)):
+                    at = close[1]
+                    out.append(" ")
+                    continue
+            opened = _OPEN.match(html, lt + 1)
+            gt = self._tag_end(opened.end()) if opened else -1
+            if gt < 0:  # no tag
+                at = lt + 1
+                if lt >= silent:
+                    head = False
+                    out.append("<")
+                continue
+            at = gt + 1
+            closing, name = opened[1], (opened[2] or "").lower()
+            if not closing and (name in LINKED or name == "meta"):
+                self._attributes(name, opened.end(), gt)
+            if not closing and name == "title" and self.title is None and (close := self._closer(name, at)):
+                self.title = html[at : close[0]]
+            if lt < silent:
+                continue
+            if not closing and name == "head":
+                head = True
+                out.append(" ")
+                continue
+            if head:
+                if closing:
+                    if name not in ("head", "body", "html", "br"):
+                        continue
+                    head = False
+                    if name == "head":
+                        continue
+                elif name in HEAD_RAW or name == "title":
+                    close = self._closer(name, at)
+                    if close or name != "title":
+                        at = close[1] if close else len(html)
+                    continue
+                elif name in HEAD_VOID or not name:
+                    continue
+                head = False
+            if not closing and name in SILENT:
+                out.append(" ")
+                if name in ("script", "style") or not _EMPTY.search(html[lt + 1 : gt]):
+                    close = self._closer(name, at)
+                    if name in RAW:
+                        at = close[1] if close else len(html)
+                    else:
+                        silent = close[0] if close else len(html)
+            elif name in BLOCK:
+                out.append("\n")
+
+
 def plain_text(html: str) -> str:
-    text = _ANY.sub("", _BREAK.sub("\n", _DROP.sub(" ", html)))
-    lines = (_SPACE.sub(" ", x).strip() for x in entities.unescape(text).split("\n"))
+    return _lines(Page(html).text)
+
+
+def _lines(text: str) -> str:
+    lines = (_SPACE.sub(" ", x).strip() for x in _unescape(text).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
@@ -127,20 +257,15 @@ def _split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return first, headers, payload
 
 
-def envelope(fields: dict[str, str], block: bytes) -> dict:
+def envelope(fields: dict[str, str], status: str, headers: list[tuple[str, str]], payload: bytes, page: Page) -> dict:
     """What the metadata record says of its source."""
-    status, headers, payload = _split_http(block)
-    html = payload.decode("utf-8", "replace")
-    title = _TITLE.search(html)
-    metas = [{k.lower(): a or b or c for k, a, b, c in _ATTR.findall(m)} for m in _META.findall(html)]
-    links = [{"path": f"{tag.upper()}@/{'href' if tag.lower() in ('a', 'link', 'area') else 'src'}", "url": entities.unescape(a or b or c)} for tag, a, b, c in _LINK.findall(html)]
     return {
         "WARC-Header-Metadata": fields,
         "Payload-Metadata": {
             "HTTP-Response-Metadata": {
                 "Response-Message": status,
                 "Headers": headers,
-                "HTML-Metadata": {"Title": entities.unescape(title[1]).strip() if title else None, "Metas": metas, "Links": links},
+                "HTML-Metadata": {"Title": None if page.title is None else _unescape(page.title).strip(), "Metas": page.metas, "Links": page.links},
                 "Entity-Length": len(payload),
                 "Entity-Digest": fields.get("WARC-Payload-Digest") or digest(payload),
             }
@@ -154,9 +279,11 @@ def derivatives(record: bytes) -> dict | None:
     if fields.get("WARC-Type") != "response":
         return None
     source = fields["WARC-Record-ID"]
-    told = envelope(fields, block)
+    status, headers, payload = _split_http(block)
+    page = Page(payload.decode("utf-8", "replace"))
+    told = envelope(fields, status, headers, payload, page)
     meta = json.dumps(told, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace")
-    text = plain_text(_split_http(block)[2].decode("utf-8", "replace"))
+    text = _lines(page.text)
     plain = text.encode("utf-8", "replace")
     shared = [(k, fields[k]) for k in ("WARC-Target-URI", "WARC-Date") if k in fields] + [("WARC-Refers-To", source)]
     out = {"response_id": source, "target_uri": fields.get("WARC-Target-URI"), "date": fields.get("WARC-Date")}

@@ -233,3 +233,23 @@ def test_another_kind_of_file_takes_whole_texts():
     other = json.dumps(file)
     ids = Tokenizer.from_str(other).encode("Two WORDS two", add_special_tokens=False).ids
     assert list(packing.worker_chunks(other).of([b"Two WORDS two"])) == [struct.pack(f"<{len(ids)}I", *ids)]
+
+
+@pytest.mark.parametrize("tail", ["", ">"])
+def test_broken_markup_takes_linear_time(tail):
+    import time
+
+    for unit in ("<a ", "<title", "<meta ", "<script ", "<a '", '<a "', "<!--", "<![CDATA[", "<head>", "<svg ", "<noscript>", "<title>", "</title", "<a href=", "&#1", "<"):
+        began = time.process_time()
+        warc.derivatives(warc.response("u", unit * (1_000_000 // len(unit)) + tail))
+        assert time.process_time() - began < 5, unit  # quadratic time would be hours
+    odd = "<a " + "a" * 1_000_000 + ">x&#" + "9" * 1_000_000 + ";<p " + " " * 1_000_000 + ">y"
+    assert warc.plain_text(odd) == "x�\ny"
+
+
+def test_quotes_comments_and_silent_elements():
+    page = warc.Page("""<p title='>"'>a<!-- <a href=no> --><b x="1>2">b</b><noscript>no<a href="/in">no</a></noscript><script src=s.js>"<a href=no>"</script><a data-href=no HREF = '/q&amp;r'>c""")
+    assert page.text.split() == ["a", "b", "c"]
+    assert [x["url"] for x in page.links] == ["/in", "s.js", "/q&r"]
+    assert warc.plain_text("1 < 2 <3 </ <a 'open") == "1 < 2 <3 </ <a 'open"
+    assert warc.plain_text("<![CDATA[no]]>a<![CDATA[b>c") == "ac"
