@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,15 +25,32 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder below ``spark.checkpoint.dir``, removed when the application ends.
+
+    Where that is unset, a temporary folder serves a local master only: no other machine would see it.
+    """
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the cluster {master} shares")
+        root = tempfile.gettempdir()
+    folder = f"{root.rstrip('/')}/riboplan-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared checkpoint folder, which outlives any executor.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a temporary one is taken. Parquet is written, for its rows are smaller than a checkpoint's.
+    Parquet is written, for its rows are smaller than a checkpoint's.
     """
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-")
-    path = f"{folder.rstrip('/')}/durable-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/durable-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -42,6 +60,21 @@ def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if rows <= limit else df
 
 
+def written_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A side of a join as a durable table, broadcast if its counted rows are within ``limit``.
+
+    Beyond it both sides of the join come straight from a shuffle, so that Spark can split a hot key.
+    """
+    df = durable(df)
+    return small_side(df, df.count(), limit)
+
+
+def under(most: int, rows: int) -> int:
+    """Bound of a 64-bit hash under which about 2 * ``most`` + 100 of ``rows`` rows lie; all, if there are no more."""
+    share = (2 * most + 100) / max(rows, 1)
+    return 2**63 - 1 if share >= 1 else int(-(2**63) + share * 2**64)
+
+
 #: Bytes of a batch between Spark and Python: texts are long, and two batches a task must fit.
 BATCH_BYTES = 4_000_000
 

@@ -53,6 +53,10 @@ def spelled(words: Column) -> Column:
     return F.array_distinct(_each_window(words, lambda ws: F.concat_ws(" ", *ws)))
 
 
+#: Bytes of all items' windows up to which they are sent to all tasks; beyond it they meet the documents in a shuffle.
+BROADCAST_BYTES = 64_000_000
+
+
 def _items(benchmark: DataFrame) -> DataFrame:
     """item_id, windows (strings), m, need (least count), size_class."""
     m = F.size("windows")
@@ -87,6 +91,9 @@ def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         seen.join(small_side(sk, sides), "h").filter(F.col("_n") >= F.col("least")).select("doc_id", "item_id").distinct()
     )
     by_doc = pairs.groupBy("doc_id").agg(F.collect_list("item_id").alias("_items"))
+    windows = items.select("item_id", "windows", "m", "need")
+    size = items.agg(F.coalesce(F.sum(F.length(F.concat_ws("", "windows")) + 16 * F.size("windows")), F.lit(0))).first()[0]
+    windows = F.broadcast(windows) if size <= BROADCAST_BYTES else windows
     rows = (
         texts.join(small_side(by_doc, pairs.count(), 200_000), "doc_id")
         .select("doc_id", "_items", spelled(F.col("_words")).alias("_mine"))
@@ -94,7 +101,7 @@ def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     shared = F.size(F.array_intersect("_mine", "windows"))
     return (
-        rows.join(small_side(items.select("item_id", "windows", "m", "need"), sides), "item_id")
+        rows.join(windows, "item_id")
         .select("doc_id", "item_id", shared.cast("long").alias("n_shared"), F.col("m").cast("long").alias("n_item"), "need")
         .filter(F.col("n_shared") >= F.col("need"))
         .withColumn("containment", F.col("n_shared") / F.col("n_item"))

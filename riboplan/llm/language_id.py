@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, under
 from .nn import Adam, PooledConvolutions, softmax
 
 WINDOW = 192
@@ -41,17 +41,27 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> list[tuple[str, bytes]]:
-    """At most ``per_language`` texts of each language, chosen by a hash of the id, never held-out ones."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")))
+    """At most ``per_language`` texts of each language, those of the least hash of the id, never held-out ones.
+
+    Languages are counted first, so that hardly more rows than wanted are shuffled, however many there are.
+    """
     rows = (
         docs.select("doc_id", "lang", "text")
         .filter(F.col("lang").isNotNull() & (F.trim("lang") != "") & (F.col("lang") != UNKNOWN))
         .filter(F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-        .select("doc_id", "lang", F.substring(F.encode("text", "UTF-8"), 1, SAMPLE_BYTES).alias("text"))
+    )
+    sizes = [(r["lang"], under(per_language, r["count"])) for r in rows.groupBy("lang").count().collect()]
+    bound = docs.sparkSession.createDataFrame(sizes, "lang string, _under long")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_hash", F.xxhash64("text")))
+    chosen = (
+        rows.withColumn("_hash", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), F.xxhash64("text")))
+        .join(F.broadcast(bound), "lang")  # a row a language
+        .filter("_hash <= _under")
+        .select("lang", F.substring(F.encode("text", "UTF-8"), 1, SAMPLE_BYTES).alias("text"), "_hash")
         .withColumn("_rank", rank)
         .filter(F.col("_rank") <= per_language)
     )
-    return sorted((r["lang"], bytes(r["text"])) for r in rows.collect())
+    return sorted((r["lang"], bytes(r["text"])) for r in chosen.collect())
 
 
 def windows(raw: bytes, length: int = WINDOW) -> np.ndarray:

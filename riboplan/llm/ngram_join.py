@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, map_batches, mix, small_side, word_names
+from .common import durable, map_batches, mix, small_side, word_names, written_side
 
 SKETCH_BITS = 16
 #: Links up to which one task finds their components (32 MB of them).
@@ -336,7 +336,7 @@ def _with_comp(df: DataFrame, links: DataFrame) -> DataFrame:
 def _several(df: DataFrame, keys: list[str], what: str) -> DataFrame:
     """Rows whose ``keys`` have more than one value of ``what``."""
     keyed = df.groupBy(*keys).agg(F.min(what).alias("_a"), F.max(what).alias("_b")).filter("_a != _b")
-    return df.join(keyed.select(*keys), keys, "left_semi")
+    return df.join(written_side(keyed.select(*keys)), keys, "left_semi")
 
 
 def _links(rows: DataFrame, classes: DataFrame, met: DataFrame, k: int, percent: int) -> DataFrame:
@@ -348,7 +348,7 @@ def _links(rows: DataFrame, classes: DataFrame, met: DataFrame, k: int, percent:
     shared = shared.join(classes.select("cls", (-F.col("copies")).alias("_rare")), "cls")
     ranked = long_rows.join(durable(shared), "cls")
     heads = ranked.groupBy("token").agg(F.min(F.struct("_rare", "_few", "cls"))["cls"].alias("_head"))
-    votes = long_rows.join(heads, "token").groupBy("cls", "_head").agg(F.count("*").alias("_n"))
+    votes = long_rows.join(written_side(heads), "token").groupBy("cls", "_head").agg(F.count("*").alias("_n"))
     top = durable(votes.groupBy("cls").agg(F.max(F.struct("_n", "_head"))["_head"].alias("other")))
     for _ in range(3):  # a head that follows another one hands its sets on, so that a group has one pivot
         up = top.select(F.col("cls").alias("other"), F.col("other").alias("_up"))
@@ -377,7 +377,7 @@ def _links(rows: DataFrame, classes: DataFrame, met: DataFrame, k: int, percent:
     m = durable(m.select("token", "cls", "n", "pos", "comp", F.coalesce("pivot", "cls").alias("team")))
     teams = m.groupBy("token").agg(F.count("*").alias("_c"), F.countDistinct("team").alias("_teams"), F.min("comp").alias("_a"), F.max("comp").alias("_b"))
     teams = teams.filter("_a != _b and _teams > 1")
-    m = durable(m.join(teams.select("token", (F.col("_c") > 2 * F.col("_teams")).alias("crowded")), "token"))
+    m = durable(m.join(written_side(teams.select("token", (F.col("_c") > 2 * F.col("_teams")).alias("crowded"))), "token"))
     x, y = m.alias("x"), m.alias("y")
     settled = F.col("x.team") == F.col("y.team")
     ok = _may_link(percent, F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, map_batches, mix, small_side
+from .common import durable, map_batches, mix, small_side, written_side
 
 LENGTH = 50
 PLACE_BITS = 28
@@ -408,7 +408,7 @@ def _copies(rows: DataFrame) -> DataFrame:
     """doc_id, _fp of the rows whose whole text some row with a smaller id has."""
     ids = rows.select("doc_id", "_fp", F.length("_text").alias("n"), F.xxhash64("_text").alias("h1"), F.xxhash64(F.lit(7), "_text").alias("h2"))
     same = ["n", "h1", "h2"]
-    least = ids.groupBy(*same).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+    least = written_side(ids.groupBy(*same).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most"))
     return durable(ids.join(least, same).filter("doc_id > least").select("doc_id", "_fp").distinct())
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, durable, map_batches, small_side
+from .common import BROADCAST_ROWS, durable, map_batches, small_side, under
 from .nn import Adam, PooledConvolutions
 
 BUCKETS = 1 << 16
@@ -110,12 +110,14 @@ def sample(docs: DataFrame, one: DataFrame, rows: int, per_class: int = SAMPLE_P
     """(toxic, lang, whole text, kept out of the fit) of about ``per_class`` of the ``rows`` rows of ``one`` a class, by language."""
     lang = F.coalesce("lang", F.lit("")).alias("lang")
     found = durable(docs.select("doc_id", lang).join(small_side(one, rows), "doc_id").groupBy("doc_id", "toxic").agg(F.min("lang").alias("lang")))
-    share = quotas({(r["toxic"], r["lang"]): r["count"] for r in found.groupBy("toxic", "lang").count().collect()}, per_class)
+    sizes = {(r["toxic"], r["lang"]): r["count"] for r in found.groupBy("toxic", "lang").count().collect()}
+    share = quotas(sizes, per_class)
     if not share:
         return []
     rank = F.row_number().over(Window.partitionBy("toxic", "lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    limit = docs.sparkSession.createDataFrame([(*k, n) for k, n in share.items()], "toxic int, lang string, _most int")
-    chosen = found.withColumn("_rank", rank).filter(F.col("_rank") <= per_class).join(F.broadcast(limit), ["toxic", "lang"]).filter("_rank <= _most")
+    limit = docs.sparkSession.createDataFrame([(*k, n, under(n, sizes[k])) for k, n in share.items()], "toxic int, lang string, _most int, _under long")
+    near = found.join(F.broadcast(limit), ["toxic", "lang"]).filter(F.xxhash64("doc_id") <= F.col("_under"))  # hardly more than wanted is shuffled
+    chosen = near.withColumn("_rank", rank).filter("_rank <= _most")
     chosen = chosen.select("doc_id", "toxic", (F.col("_rank") % 4 == 0).alias("cal"))
     got = docs.select("doc_id", lang, F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # about 2 * per_class rows
     return sorted({tuple(r) for r in got.select("toxic", "lang", "text", "cal").collect()})

@@ -76,3 +76,44 @@ def test_similar_matches_the_exact_ratio():
         a, b = (np.unique(rng.choice(pool, int(rng.integers(1, 80)))) for _ in range(2))
         shared = len(np.intersect1d(a, b))
         assert nj.similar(a, b, 85) == (100 * shared >= 85 * (len(a) + len(b) - shared))
+
+
+def test_long_paths_take_few_rounds(spark, monkeypatch):
+    n, calls, durable = 600, [], nj.durable
+    monkeypatch.setattr(nj, "durable", lambda df: calls.append(1) or durable(df))
+    order = [0, *range(n - 1, 0, -1)]  # the least label is next to the largest
+    shuffled = np.random.default_rng(3).permutation(np.arange(1000, 1000 + n)).tolist()
+    edges = [*zip(order, order[1:]), *zip(shuffled, shuffled[1:])]
+    got = {r["node"]: r["label"] for r in nj.components(spark.createDataFrame(edges, "cls long, other long"), 0).collect()}
+    assert got == {**dict.fromkeys(order, 0), **dict.fromkeys(shuffled, 1000)}
+    assert (len(calls) - 2) // 2 <= 25
+
+
+def test_signatures_bound_the_difference():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        pool = rng.integers(0, 2**63, 900).astype(np.uint64)
+        a, b = (np.unique(rng.choice(pool, int(rng.integers(1, 900)))) for _ in range(2))
+        assert nj.unlike(nj.signature(a), nj.signature(b))[0] <= len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize("k, percent", [(4, 85), (5, 80)])
+def test_groups_of_variants_and_hot_windows(spark, monkeypatch, k, percent):
+    """Few pivots with many sets, other families that share their windows, and salted windows."""
+    monkeypatch.setattr(nj, "HOT_ROWS", 3)
+    monkeypatch.setattr(nj, "HOT_SHARE", 10**9)
+    rng = np.random.default_rng(12)
+    words = [f"w{x}" for x in rng.integers(0, 60, 90)]
+    rows = []
+    for family in range(6):
+        base = list(words)
+        for at in rng.integers(0, 90, 4 * family):
+            base[at] = f"f{family}{at}"
+        for i in range(14):
+            copy = list(base)
+            for at in rng.integers(0, 90, int(rng.integers(0, 5))):
+                copy[at] = f"x{rng.integers(30)}"
+            rows.append((100 * family + i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = nj.join(df, k, percent).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, k, percent)
