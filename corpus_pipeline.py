@@ -15,7 +15,6 @@ rows are written as Parquet and read again. Empty tables pass through all stages
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riboplan.llm import decontaminate, language_id, ngram_join, packing, suffix_dedup
-from riboplan.llm.common import durable, read, small_side
+from riboplan.llm.common import durable, read, shared_folder, small_side
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Least mean probability of the guessed language: little above chance among four.
@@ -85,8 +84,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, with the rows between them in the folder that the cluster shares."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
