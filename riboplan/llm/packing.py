@@ -69,7 +69,7 @@ class Chunks(dict):
     that are met again are taken over from the old one, so what is frequent stays.
     """
 
-    GENERATION_BYTES = 60_000_000
+    GENERATION_BYTES = 36_000_000
     #: A key, a value and their place in the dictionary, besides their own bytes.
     ENTRY_BYTES = 170
 
