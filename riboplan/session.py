@@ -6,6 +6,7 @@ import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -26,6 +27,11 @@ def within(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def bounded(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A side of a join of narrow rows, sent to all tasks if it has at most ``rows`` of them (tens of MB)."""
+    return F.broadcast(df) if within(df, rows) else df
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with files in the checkpoint folder that the cluster shares."""
     sc = df.sparkSession.sparkContext
