@@ -88,6 +88,31 @@ def candidate_windows(spark: SparkSession, d: str) -> DataFrame:
     return mz.candidate_windows(_votes(spark, d)).select("ordinal", "strand", "contig", "start0", "end0", "hits")
 
 
+def _half_circles(spark, d):
+    """Every other contig as a circle with 5 % of its length before and after it, as the index of circles has it."""
+    v, c = spark_view(spark, d, "contigs").filter("length(seq) > 0"), F.col("ord") % 2 == 0
+    size, five = F.length("seq"), F.lit(5)
+    return v.select(
+        "contig", "ord", F.when(c, circ.padded(F.col("seq"), five)).otherwise(F.col("seq")).alias("seq"), c.alias("circular"),
+        size.alias("orig_len"), F.when(c, circ.overhang(size, five)).otherwise(0).alias("overhang"),
+    )
+
+
+def _circular_votes(spark, d):
+    contigs = durable(_half_circles(spark, d))
+    index = durable(mz.build_index(contigs, K, W))
+    circles = contigs.filter("circular").select("contig", F.length("seq").alias("length"))
+    return mz.window_votes(mz.seed_hits(_seeds(spark, d), index), min_hits=2, circles=circles)
+
+
+def circular_votes(spark: SparkSession, d: str) -> DataFrame:
+    return _circular_votes(spark, d).select("ordinal", "strand", "contig", "bin", "votes")
+
+
+def circular_windows(spark: SparkSession, d: str) -> DataFrame:
+    return mz.candidate_windows(_circular_votes(spark, d)).select("ordinal", "strand", "contig", "start0", "end0", "hits")
+
+
 def rrna_filter(spark: SparkSession, d: str) -> DataFrame:
     source = rrna.kmer_set(spark_view(spark, d, "probes"), 11)
     return rrna.keep_reads(_reads(spark, d), source, 11, 20).select("ordinal", "name")
@@ -190,7 +215,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         revcomp_reads, kmer_encode, kmer_counts, minimizer_index, posting_lists, index_stats, read_minimizers, seed_hits, top_contigs,
-        window_votes, candidate_windows, rrna_filter, rrna_filter_pairs, rrna_report, cigar_ref_length, cigar_blocks, gff_attributes,
+        window_votes, candidate_windows, circular_votes, circular_windows, rrna_filter, rrna_filter_pairs, rrna_report, cigar_ref_length, cigar_blocks, gff_attributes,
         pair_validation_linear, pair_validation_circular, circular_normalise, sam_flags, mapping_qualities, edit_distance_hw,
         align_single, align_pairs,
     )
@@ -233,10 +258,32 @@ _HITS = {**_IDX, **_SEEDS, "hits": "SELECT r.*, contig, pos, pos-qpos pred FROM
 _CONTIG_HITS = "SELECT ordinal, contig, count(*) AS hits FROM hits GROUP BY ALL"
 _VOTES = """SELECT ordinal, strand, contig, bin, votes FROM (SELECT *, row_number() OVER (PARTITION BY ordinal, strand, contig ORDER BY votes DESC, first) rk FROM
  (SELECT ordinal, strand, contig, CAST(floor(pred/20) AS BIGINT) bin, CAST(count(*) AS DOUBLE) votes, min({'no':no,'pos':pos}) first FROM hits GROUP BY ALL)) WHERE rk<=6 AND votes>=2"""
-_WINDOWS = """SELECT ordinal, strand, contig, min(s) AS start0, max(e) AS end0, CAST(sum(v) AS BIGINT) AS hits FROM (SELECT *, sum(o) OVER
+
+
+def _windows_sql(start: str, end: str, contigs: str = "") -> str:
+    return f"""SELECT ordinal, strand, contig, min(s) AS start0, max(e) AS end0, CAST(sum(v) AS BIGINT) AS hits FROM (SELECT *, sum(o) OVER
  (PARTITION BY ordinal, strand, contig ORDER BY s, e ROWS UNBOUNDED PRECEDING) isl FROM (SELECT *, CASE WHEN max(e) OVER (PARTITION BY ordinal, strand, contig
- ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)+250>=s THEN 0 ELSE 1 END o FROM (SELECT ordinal, strand, contig, greatest(0,bin*20-250) s,
- bin*20+length(seq)+250 e, CAST(votes AS INT) v FROM votes JOIN v_reads USING (ordinal)) WHERE e>s)) GROUP BY ordinal, strand, contig, isl"""
+ ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)+250>=s THEN 0 ELSE 1 END o FROM (SELECT ordinal, strand, contig, {start} s,
+ {end} e, CAST(floor(votes) AS INT) v FROM votes JOIN v_reads r USING (ordinal){contigs}) WHERE e>s)) GROUP BY ordinal, strand, contig, isl"""
+
+
+_WINDOWS = _windows_sql("greatest(0,bin*20-250)", "bin*20+length(r.seq)+250")
+_OVERHANG = "greatest(1,CAST(floor(length(seq)*5/100.0) AS INT))"
+#: v_contigs is what the k-mers read: the padded contigs stand in its place.
+_HALF = f"SELECT contig, CASE WHEN ord%2=0 THEN concat(right(seq,{_OVERHANG}),seq,left(seq,{_OVERHANG})) ELSE seq END seq, ord%2=0 circular FROM v_contigs WHERE length(seq)>0"
+_PRED = "((pred%n)+n)%n"
+_CIRCULAR = {
+    "half": _HALF, "ckmers": _CKMERS.replace("v_contigs", "half"), "cmin": _CMIN, "idx": _INDEX, **_SEEDS, "hits": _HITS["hits"],
+    "placed": f"SELECT h.*, n, CASE WHEN circular THEN {_PRED} ELSE pred END p FROM hits h JOIN (SELECT contig, circular, length(seq) n FROM half) USING (contig)",
+    "cast_votes": """SELECT ordinal, strand, contig, p, 1.0 v, no, pos, 0 k FROM placed UNION ALL SELECT ordinal, strand, contig, CASE WHEN p<250 THEN p+n ELSE p-n END, 0.5, no, pos, 1
+ FROM placed JOIN half USING (contig) WHERE circular AND (p<250 OR p>n-250)""",
+    "votes": """SELECT ordinal, strand, contig, bin, votes FROM (SELECT *, row_number() OVER (PARTITION BY ordinal, strand, contig ORDER BY votes DESC, first) rk FROM
+ (SELECT ordinal, strand, contig, CAST(floor(p/20.0) AS BIGINT) bin, CAST(sum(v) AS DOUBLE) votes, min({'no':no,'pos':pos,'k':k}) first FROM cast_votes GROUP BY ALL)) WHERE rk<=6 AND votes>=2""",
+}
+_TURNED = "(((bin*20)%length(c.seq))+length(c.seq))%length(c.seq)"
+_CIRCULAR_WINDOWS = _windows_sql(
+    f"CASE WHEN circular THEN {_TURNED}-250 ELSE greatest(0,bin*20-250) END", f"CASE WHEN circular THEN {_TURNED}+length(r.seq)+500 ELSE bin*20+length(r.seq)+250 END", " JOIN half c USING (contig)",
+)
 _PROBES = "SELECT DISTINCT substr(seq,CAST(i+1 AS INT),11) km FROM v_probes, generate_series(0,length(seq)-11) g(i) WHERE length(seq)>=11"
 _RHITS = "SELECT ordinal, count(*) n FROM (SELECT ordinal, substr(seq,CAST(i+1 AS INT),11) km FROM v_reads, generate_series(0,length(seq)-11) g(i)) JOIN probes USING (km) GROUP BY ALL HAVING count(*)>=20"
 _OPS = """SELECT id, pos0, cigar, regexp_extract_all(cigar,'(\\d+)[MIDNSHP=X]',1) ns, regexp_extract_all(cigar,'\\d+([MIDNSHP=X])',1) os FROM v_cigars"""
@@ -272,6 +319,8 @@ ORACLES = {
     "top_contigs": with_views("contigs", "reads", **_HITS, ch=_CONTIG_HITS) + "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY hits DESC, contig) AS rank FROM ch) WHERE rank<=3",
     "window_votes": with_views("contigs", "reads", **_HITS) + _VOTES,
     "candidate_windows": with_views("contigs", "reads", **_HITS, votes=_VOTES) + _WINDOWS,
+    "circular_votes": with_views("contigs", "reads", **_CIRCULAR) + "SELECT * FROM votes",
+    "circular_windows": with_views("contigs", "reads", **_CIRCULAR) + _CIRCULAR_WINDOWS,
     "rrna_filter": with_views("reads", "probes", probes=_PROBES, rh=_RHITS) + "SELECT ordinal, name FROM v_reads WHERE ordinal NOT IN (SELECT ordinal FROM rh)",
     "rrna_filter_pairs": with_views("reads", "probes", probes=_PROBES, rh=_RHITS2, pairs=_PAIRS) + "SELECT ordinal, name FROM pairs WHERE ordinal NOT IN (SELECT ordinal//2 FROM rh)",
     "rrna_report": with_views("reads", "probes", probes=_PROBES, rh=_RHITS) + "SELECT examined, filtered, examined-filtered AS retained, round(100.0*filtered/examined,6) AS percent_filtered FROM (SELECT count(*) AS examined FROM v_reads), (SELECT count(*) AS filtered FROM rh)",
