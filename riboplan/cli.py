@@ -198,7 +198,8 @@ def run_quantify(spark: SparkSession, args, results: Path) -> dict:
     merged = q.merge_intervals(features, ["gene_id", "contig", "strand"])
     assigned = durable(q.assign(q.fragments(mates, keys), q.mate_overlaps(cut, merged, keys), keys, args.min_overlap, args.largest_overlap))
     counts = q.gene_counts(assigned, lengths, ("sample",))
-    broken = q.violations(assigned, counts.groupBy("gene_id").agg(F.sum("count").alias("count"))).collect()
+    stats = q.fragment_stats(mates, q.fragments(mates, keys))  # its counts of fragments need no second scan
+    broken = q.violations(assigned, counts.groupBy("gene_id").agg(F.sum("count").alias("count")), lengths, stats).collect()
     if broken:
         raise RuntimeError("; ".join(r["violation"] for r in broken))
     values = durable(q.normalise(counts, ("sample",)))

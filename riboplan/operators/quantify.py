@@ -160,14 +160,26 @@ def expression_matrix(values: DataFrame, samples: Sequence[str], measures: Seque
     return wide.fillna(0) if len(measures) > 1 else wide.toDF("gene_id", "length_bp", *[f"{s}_{measures[0]}" for s in samples]).fillna(0)
 
 
-def violations(assigned: DataFrame, counts: DataFrame) -> DataFrame:
-    """Names of the invariants that do not hold: no row means that all hold."""
-    a = assigned.agg(F.sum((F.col("status") == "assigned").cast("int")).alias("n"), F.count("*").alias("total"))
-    b = counts.agg(F.sum("count").alias("c"), F.min("count").alias("least"), (F.count("*") - F.count_distinct("gene_id")).alias("twice"))
+def invariants(assigned: DataFrame, counts: DataFrame, lengths: DataFrame, stats: DataFrame) -> DataFrame:
+    """invariant, got, want: what a finished run must agree on, a row each.
+
+    counts: gene_id, count, one row a feature; lengths: the features; stats: the row of ``fragment_stats``.
+    """
+    n = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
+    a = assigned.agg(n(F.col("status") == "assigned").alias("assigned"), n(F.col("status") == "unmapped").alias("none"), F.count("*").alias("total"))
+    b = counts.agg(n(F.col("count")).alias("sum"), n(F.col("count") < 0).alias("negative"), (F.count("*") - F.count_distinct("gene_id")).alias("twice"))
+    sides = lengths.select("gene_id", F.lit(True).alias("_f")).distinct().join(counts.select("gene_id", F.lit(True).alias("_c")).distinct(), "gene_id", "full")
+    c = sides.agg(n(F.col("_c").isNull()).alias("missing"), n(F.col("_f").isNull()).alias("unknown"))
+    rows = a.crossJoin(b).crossJoin(c).crossJoin(stats.select("fragments", F.col("unmapped").alias("unmapped_fragments")))  # one row each
     checks = {
-        "counts sum to the assigned fragments": F.coalesce("c", F.lit(0)) == F.coalesce("n", F.lit(0)),
-        "no count is negative": F.coalesce("least", F.lit(0)) >= 0,
-        "each feature has one count": F.coalesce("twice", F.lit(0)) == 0,
-    }
-    rows = F.array(*[F.when(~ok, F.lit(name)) for name, ok in checks.items()])
-    return a.crossJoin(b).select(F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("violation"))
+        "counts sum to the assigned fragments": ("sum", "assigned"), "no count is negative": ("negative", None), "each feature has one count": ("twice", None),
+        "each feature is counted": ("missing", None), "each count has a feature": ("unknown", None),
+        "each fragment has a status": ("total", "fragments"), "fragments without a mapped mate are unmapped": ("none", "unmapped_fragments"),
+    }
+    row = lambda name, got, want: F.struct(F.lit(name).alias("invariant"), F.col(got).cast("bigint").alias("got"), (F.col(want) if want else F.lit(0)).cast("bigint").alias("want"))
+    return rows.select(F.inline(F.array(*[row(name, *sides) for name, sides in checks.items()])))
+
+
+def violations(assigned: DataFrame, counts: DataFrame, lengths: DataFrame, stats: DataFrame) -> DataFrame:
+    """Names of the invariants that do not hold: no row means that all hold."""
+    return invariants(assigned, counts, lengths, stats).filter("got <> want").select(F.col("invariant").alias("violation"))

@@ -120,8 +120,16 @@ def count_matrix(spark: SparkSession, d: str) -> DataFrame:
     return q.expression_matrix(_by_sample(spark, d), ["F", "O"], ["count"])
 
 
+def _run(spark, d):
+    return _assigned(spark, d), gene_counts_zero_filled(spark, d), _lengths(spark, d), fragment_stats(spark, d)
+
+
+def invariant_values(spark: SparkSession, d: str) -> DataFrame:
+    return q.invariants(*_run(spark, d))
+
+
 def result_invariants(spark: SparkSession, d: str) -> DataFrame:
-    return q.violations(_assigned(spark, d), gene_counts_zero_filled(spark, d))
+    return q.violations(*_run(spark, d))
 
 
 def merge_intervals(spark: SparkSession, d: str) -> DataFrame:
@@ -144,7 +152,7 @@ QUERIES = {
         fragment_pairing, fragment_stats, interval_overlap_join, mate_overlap_detail, union_mate_overlap,
         fragment_assignment_default, fragment_assignment_largest, fragment_assignment_min60, fragment_assignment_min60_largest,
         assignment_summary, feature_lengths, gene_counts_zero_filled, rpkm_tpm, multi_sample_expression, expression_matrix,
-        count_matrix, result_invariants, merge_intervals, merge_intervals_gap, interval_intersection,
+        count_matrix, invariant_values, result_invariants, merge_intervals, merge_intervals_gap, interval_intersection,
     )
 }
 
@@ -208,6 +216,14 @@ _STATS = """SELECT r.*, f.* FROM (SELECT count(*) AS records, count(*) FILTER (i
  count(*) FILTER (n=2 AND m=2) AS fully_mapped, count(*) FILTER (n=2 AND m=1) AS partially_mapped, count(*) FILTER (m=0) AS unmapped,
  count(*) FILTER (m=2 AND c>1) AS discordant_contig FROM (SELECT qname, frag, count(*) n, count(*) FILTER (NOT is_unmapped) m,
  count(DISTINCT CASE WHEN NOT is_unmapped THEN contig END) c FROM mates GROUP BY ALL)) f"""
+_INVARIANTS = """SELECT invariant, CAST(got AS BIGINT) AS got, CAST(want AS BIGINT) AS want FROM (
+ SELECT 'counts sum to the assigned fragments' invariant, (SELECT coalesce(sum("count"),0) FROM counts) got, (SELECT count(*) FROM assigned WHERE status='assigned') want
+ UNION ALL SELECT 'no count is negative', (SELECT count(*) FROM counts WHERE "count"<0), 0
+ UNION ALL SELECT 'each feature has one count', (SELECT count(*)-count(DISTINCT gene_id) FROM counts), 0
+ UNION ALL SELECT 'each feature is counted', (SELECT count(*) FROM (SELECT gene_id FROM v_features EXCEPT SELECT gene_id FROM counts)), 0
+ UNION ALL SELECT 'each count has a feature', (SELECT count(*) FROM (SELECT gene_id FROM counts EXCEPT SELECT gene_id FROM v_features)), 0
+ UNION ALL SELECT 'each fragment has a status', (SELECT count(*) FROM assigned), (SELECT fragments FROM stats)
+ UNION ALL SELECT 'fragments without a mapped mate are unmapped', (SELECT count(*) FROM assigned WHERE status='unmapped'), (SELECT unmapped FROM stats))"""
 _STRANDS = {f"s{i}": _merge_sql(f"{_FEATS} WHERE strand='{s}'", "contig") for i, s in enumerate("+-")}
 _MERGED_BLOCKS = _merge_sql("SELECT qname, frag, contig, bs s, be e FROM blocks", "qname, frag, contig")
 
@@ -244,11 +260,8 @@ ORACLES = {
     "multi_sample_expression": _sql(_SAMPLE_NORM, **_assigned_sql(by="sample, "), counts=_SAMPLE_COUNTS),
     "expression_matrix": _sql(f"SELECT gene_id, length AS length_bp, {_PICK} FROM n GROUP BY ALL", **_assigned_sql(by="sample, "), counts=_SAMPLE_COUNTS, n=_SAMPLE_NORM),
     "count_matrix": _sql(f"SELECT gene_id, length AS length_bp, {_PICK_COUNT} FROM counts GROUP BY ALL", **_assigned_sql(by="sample, "), counts=_SAMPLE_COUNTS),
-    "result_invariants": _sql(
-        """SELECT 'counts sum to the assigned fragments' AS violation WHERE (SELECT sum("count") FROM counts)<>(SELECT count(*) FROM assigned WHERE status='assigned')
- UNION ALL SELECT 'no count is negative' WHERE (SELECT min("count") FROM counts)<0""",
-        **_assigned_sql(), counts=_COUNTS,
-    ),
+    "invariant_values": _sql("SELECT * FROM checks", **_assigned_sql(), counts=_COUNTS, stats=_STATS, checks=_INVARIANTS),
+    "result_invariants": _sql("SELECT invariant AS violation FROM checks WHERE got<>want", **_assigned_sql(), counts=_COUNTS, stats=_STATS, checks=_INVARIANTS),
     "merge_intervals": _sql(_merge_sql(_FEATS, "contig, strand")),
     "merge_intervals_gap": _sql(_merge_sql(_FEATS, "contig", 50, ", count(*) AS members")),
     "interval_intersection": _sql(

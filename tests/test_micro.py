@@ -55,8 +55,14 @@ def test_counts_and_normalisation(mates, features):
     s = quantify.summary(a).first()
     assert (s["assigned"], s["ambiguous"], s["no_feature"], s["unmapped"], s["insufficient_overlap"]) == (2, 4, 1, 1, 0)
     counts = quantify.gene_counts(a, lengths)
-    assert quantify.violations(a, counts).collect() == []
-    assert len(quantify.violations(a, counts.withColumn("count", F.lit(-1))).collect()) == 2
+    stats = quantify.fragment_stats(mates.withColumns({"is_secondary": F.lit(False), "is_supplementary": F.lit(False)}), quantify.fragments(mates, ["qname", "frag"]))
+    broken = lambda a=a, c=counts, f=lengths, s=stats: {r["violation"] for r in quantify.violations(a, c, f, s).collect()}
+    assert broken() == set()
+    assert broken(c=counts.withColumn("count", F.lit(-1))) == {"no count is negative", "counts sum to the assigned fragments"}
+    assert broken(c=counts.unionAll(counts.filter("gene_id = 'gB'"))) == {"each feature has one count"}
+    assert broken(c=counts.filter("gene_id != 'gB'")) == {"each feature is counted"}
+    assert broken(f=lengths.filter("gene_id != 'gB'")) == {"each count has a feature"}
+    assert broken(a=a.filter("status != 'unmapped'")) == {"each fragment has a status", "fragments without a mapped mate are unmapped"}
     none = quantify.normalise(counts.withColumn("count", F.lit(0))).collect()
     assert {(r["rpkm"], r["tpm"]) for r in none} == {(0.0, 0.0)}
 
@@ -241,3 +247,23 @@ def test_edit_distance_kernel():
                 cost += c != "="
             n = ""
         assert (i, j, cost) == (len(q), hit.end + 1, hit.edits)
+
+
+def test_reads_over_the_origin(spark):
+    """A read over the origin of a circle is found on the padded sequence, on a linear contig it is not there."""
+    import random
+
+    from riboplan.functions.circular import overhang, padded
+    from riboplan.operators import align, minimizers
+
+    rng = random.Random(5)
+    one, two = ("".join(rng.choice("ACGT") for _ in range(1200)) for _ in "ab")
+    v = spark.createDataFrame([("c", 0, one, True), ("l", 1, two, False)], "contig string, ord long, seq string, circular boolean")
+    n, five = F.length("seq"), F.lit(5)
+    over = F.when(F.col("circular"), overhang(n, five)).otherwise(0)
+    contigs = v.select("contig", "ord", "circular", n.alias("orig_len"), over.alias("overhang"), F.when(F.col("circular"), padded(F.col("seq"), five)).otherwise(F.col("seq")).alias("seq"))
+    reads = [one[-50:] + one[:50], one[300:400], two[700:800]]
+    rows = spark.createDataFrame(list(enumerate(reads)), "ordinal long, seq string")
+    index = minimizers.build_index(contigs)
+    got = {r["ordinal"]: (r["contig"], r["pos0"], r["cigar"], r["junction"]) for r in align.align_single(rows, contigs, index).collect()}
+    assert got == {0: ("c", 1150, "100=", True), 1: ("c", 300, "100=", False), 2: ("l", 700, "100=", False)}
