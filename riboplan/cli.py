@@ -18,7 +18,7 @@ from riboplan.operators import operons as op
 from riboplan.operators import quantify as q
 from riboplan.operators import rrna
 from riboplan.session import durable, session
-from riboplan.sources import sinks, tables
+from riboplan.sources import files, sinks, tables
 
 VERSION = "0.1.0"
 log = logging.getLogger("riboplan")
@@ -168,6 +168,7 @@ def run_align(spark: SparkSession, args, results: Path) -> dict:
 
 def _alignments(spark: SparkSession, bams: list[str]) -> DataFrame:
     _files(*bams)
+    files.probe_bam(*bams)
     rows = tables.read_bam(spark, *bams)
     has = lambda bit: F.col("flag").bitwiseAND(F.lit(bit)) > 0
     return rows.withColumns({

@@ -96,6 +96,15 @@ class BamReader(DataSourceReader):
             yield (sample, *r.values())
 
 
+def probe_bam(*paths: str) -> None:
+    """Opens each BAM file and reads its first record, if it has one; a file that can't be read raises by name."""
+    for p in listed({"path": ",".join(paths)}):
+        try:
+            next(iter(bgzf.Reader(p)), None)
+        except Exception as e:
+            raise ValueError(f"BAM file can't be read: {p}: {e}") from e
+
+
 @dataclass
 class Written(WriterCommitMessage):
     path: str

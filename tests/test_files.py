@@ -7,7 +7,7 @@ import random
 import pytest
 
 from riboplan import cli
-from riboplan.sources import bgzf, sinks, tables
+from riboplan.sources import bgzf, files, sinks, tables
 from riboplan.streaming import mates
 
 
@@ -87,6 +87,11 @@ def test_bam_round_trip(spark, tmp_path):
     assert raw.endswith(bgzf.END_OF_FILE) and gzip.decompress(raw)[:4] == b"BAM\1"
     with pytest.raises(FileNotFoundError):
         tables.read_bam(spark, str(tmp_path / "none.bam")).collect()
+    files.probe_bam(str(tmp_path / "x.sorted.bam"), str(tmp_path / "parts"))
+    for n, bad in enumerate((b"", b"no BAM", raw[: len(raw) // 3])):
+        (tmp_path / f"bad{n}.bam").write_bytes(bad)
+        with pytest.raises(ValueError, match=f"bad{n}.bam"):
+            files.probe_bam(str(tmp_path / f"bad{n}.bam"))
 
 
 def test_number_format(spark, tmp_path):
