@@ -267,3 +267,15 @@ def test_reads_over_the_origin(spark):
     index = minimizers.build_index(contigs)
     got = {r["ordinal"]: (r["contig"], r["pos0"], r["cigar"], r["junction"]) for r in align.align_single(rows, contigs, index).collect()}
     assert got == {0: ("c", 1150, "100=", True), 1: ("c", 300, "100=", False), 2: ("l", 700, "100=", False)}
+
+
+def test_a_gene_without_a_read_is_not_covered(spark):
+    genes = spark.createDataFrame([("a", "c", "+", 1, 100), ("b", "c", "+", 201, 300)], "gene_id string, chrom string, strand string, start long, end long")
+    spans = spark.createDataFrame([("s", "c", 0, 50), ("t", "c", 200, 300)], "sample string, contig string, start long, end long")
+    assert {tuple(r) for r in operons.gene_coverage(spans, genes, ["sample"]).collect()} == {("s", "a", 0.5), ("s", "b", 0.0), ("t", "a", 0.0), ("t", "b", 1.0)}
+
+
+def test_equal_blocks_of_both_mates_count_once(spark):
+    blocks = spark.createDataFrame([("q", m, "c", s, s + 50) for m in (1, 2) for s in (0, 90)], "qname string, mate int, contig string, start long, end long")
+    features = spark.createDataFrame([("g", "c", 0, 500)], "gene_id string, contig string, start long, end long")
+    assert [tuple(r) for r in quantify.union_overlaps(blocks, features, ["qname"]).collect()] == [("q", "g", 100)]
