@@ -11,7 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import merge_intervals, overlap_join
+from riboplan.session import within
+
+from .intervals import BROADCAST_FEATURES, merge_intervals, overlap_join
 
 STATUSES = ("assigned", "unmapped", "no_feature", "ambiguous", "insufficient_overlap")
 
@@ -66,10 +68,22 @@ def fragment_stats(records: DataFrame, frags: DataFrame) -> DataFrame:
     return a.crossJoin(b)  # one row each
 
 
-def mate_overlaps(blocks: DataFrame, features: DataFrame, keys: Sequence[str]) -> DataFrame:
+Home = tuple[int, Sequence[str]]
+
+
+def _overlapping(blocks: DataFrame, f: DataFrame, home: Home | None) -> DataFrame:
+    """Overlaps, brought home (number of partitions and columns by which the fragments lie) if the join took them elsewhere."""
+    if home is None:
+        return overlap_join(blocks, f, ["contig"])
+    small = within(f, BROADCAST_FEATURES)
+    rows = overlap_join(blocks, f, ["contig"], broadcast_rows=BROADCAST_FEATURES if small else -1, parts=home[0])
+    return rows if small else rows.repartition(home[0], *home[1])
+
+
+def mate_overlaps(blocks: DataFrame, features: DataFrame, keys: Sequence[str], home: Home | None = None) -> DataFrame:
     """keys, mate, gene_id, overlap: bases of a mate's blocks within a feature's blocks."""
     f = features.select("gene_id", "contig", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    return overlap_join(blocks, f, ["contig"]).groupBy(*keys, "mate", "gene_id").agg(F.sum("overlap").alias("overlap"))
+    return _overlapping(blocks, f, home).groupBy(*keys, "mate", "gene_id").agg(F.sum("overlap").alias("overlap"))
 
 
 def mate_detail(overlaps: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -81,11 +95,11 @@ def mate_detail(overlaps: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def union_overlaps(blocks: DataFrame, features: DataFrame, keys: Sequence[str]) -> DataFrame:
+def union_overlaps(blocks: DataFrame, features: DataFrame, keys: Sequence[str], home: Home | None = None) -> DataFrame:
     """keys, gene_id, overlap of the union of both mates' blocks, so that bases under both count once."""
     merged = merge_intervals(blocks, [*keys, "contig"])
     f = features.select("gene_id", "contig", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    return overlap_join(merged, f, ["contig"]).groupBy(*keys, "gene_id").agg(F.sum("overlap").alias("overlap"))
+    return _overlapping(merged, f, home).groupBy(*keys, "gene_id").agg(F.sum("overlap").alias("overlap"))
 
 
 def assign(frags: DataFrame, overlaps: DataFrame, keys: Sequence[str], min_overlap: int = 1, largest: bool = False) -> DataFrame:

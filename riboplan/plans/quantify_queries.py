@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riboplan.operators import intervals as iv
 from riboplan.operators import quantify as q
 
-from .views import spark_view, with_views
+from .views import record_parts, spark_view, with_views
 
 KEYS = ("qname", "frag")
 SAMPLE_KEYS = ("sample", "qname", "frag")
@@ -19,7 +19,12 @@ def features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
-    return spark_view(spark, d, "alignments")
+    return spark_view(spark, d, "alignments", {"lineitem": (record_parts(spark, d), "l_orderkey")})
+
+
+def _home(spark: SparkSession, d: str) -> q.Home:
+    """Where the records of a name lie: one shuffle serves pairs, fragments and their features."""
+    return record_parts(spark, d), ("qname",)
 
 
 def mates(spark: SparkSession, d: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -38,7 +43,7 @@ def blocks(m: DataFrame) -> DataFrame:
 def _assigned(spark, d, min_overlap=1, largest=False, by=()):
     keys = (*by, *KEYS)
     m = mates(spark, d, by)
-    return q.assign(q.fragments(m, keys), q.mate_overlaps(blocks(m), features(spark, d), keys), keys, min_overlap, largest)
+    return q.assign(q.fragments(m, keys), q.mate_overlaps(blocks(m), features(spark, d), keys, _home(spark, d)), keys, min_overlap, largest)
 
 
 def fragment_pairing(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +55,7 @@ def fragment_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def interval_overlap_join(spark: SparkSession, d: str) -> DataFrame:
-    return q.mate_overlaps(blocks(mates(spark, d)), features(spark, d), KEYS)
+    return q.mate_overlaps(blocks(mates(spark, d)), features(spark, d), KEYS, _home(spark, d))
 
 
 def mate_overlap_detail(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +63,7 @@ def mate_overlap_detail(spark: SparkSession, d: str) -> DataFrame:
 
 
 def union_mate_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return q.union_overlaps(blocks(mates(spark, d)), features(spark, d), KEYS)
+    return q.union_overlaps(blocks(mates(spark, d)), features(spark, d), KEYS, _home(spark, d))
 
 
 def fragment_assignment_default(spark: SparkSession, d: str) -> DataFrame:

@@ -279,3 +279,21 @@ def test_equal_blocks_of_both_mates_count_once(spark):
     blocks = spark.createDataFrame([("q", m, "c", s, s + 50) for m in (1, 2) for s in (0, 90)], "qname string, mate int, contig string, start long, end long")
     features = spark.createDataFrame([("g", "c", 0, 500)], "gene_id string, contig string, start long, end long")
     assert [tuple(r) for r in quantify.union_overlaps(blocks, features, ["qname"]).collect()] == [("q", "g", 100)]
+
+
+def test_shuffled_overlaps_come_home(spark, mates, features, monkeypatch):
+    keys = ("qname", "frag")
+    mapped = mates.filter("not is_unmapped")
+    want = sorted(map(tuple, quantify.mate_overlaps(mapped, features, keys).collect()))
+    monkeypatch.setattr(quantify, "BROADCAST_FEATURES", -1)
+    rows = quantify.mate_overlaps(mapped, features, keys, (7, ("qname",)))
+    assert sorted(map(tuple, rows.collect())) == want
+    assert "hashpartitioning(qname#" in (plan := rows._jdf.queryExecution().executedPlan().toString()) and ", 7), REPARTITION_BY_NUM" in plan
+
+
+def test_partitions_grow_with_the_rows(spark, monkeypatch):
+    from riboplan import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert session.parts_of(spark.range(300), spark.range(1)) == 31 and session.parts_of(spark.range(5)) == least
