@@ -297,3 +297,14 @@ def test_partitions_grow_with_the_rows(spark, monkeypatch):
     monkeypatch.setattr(session, "TASK_ROWS", 10)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert session.parts_of(spark.range(300), spark.range(1)) == 31 and session.parts_of(spark.range(5)) == least
+
+
+def test_kmers_are_counted_before_they_are_rows(spark):
+    seqs = ["ACGTNACGT", "ACG", None, "", "ACGTA" * 3]
+    want = {}
+    for s in seqs:
+        for i in range(len(s or "") - 3):
+            want[s[i : i + 4]] = want.get(s[i : i + 4], 0) + 1
+    rows = minimizers.kmer_counts(spark.createDataFrame(list(enumerate(seqs)), "ordinal long, seq string"), 4)
+    assert {r["kmer"]: r["n"] for r in rows.collect()} == want
+    assert "Generate" not in rows._jdf.queryExecution().executedPlan().toString()
