@@ -102,11 +102,13 @@ def union_overlaps(blocks: DataFrame, features: DataFrame, keys: Sequence[str],
     return _overlapping(merged, f, home).groupBy(*keys, "gene_id").agg(F.sum("overlap").alias("overlap"))
 
 
-def assign(frags: DataFrame, overlaps: DataFrame, keys: Sequence[str], min_overlap: int = 1, largest: bool = False) -> DataFrame:
+def assign(frags: DataFrame, overlaps: DataFrame, keys: Sequence[str], min_overlap: int = 1, largest: bool = False, parts: int | None = None) -> DataFrame:
     """keys, status, gene_id: features that more mates support come first; then the least overlap decides.
 
     With ``largest`` the single largest overlap wins and a tie is ambiguous; otherwise two eligible
-    features are ambiguous. The per-gene aggregate and both windows share one partitioning.
+    features are ambiguous. The per-gene aggregate and both windows share one partitioning. Fragments and
+    verdicts meet in ``parts`` partitions where the caller knows how many hold them: Spark joins only sides that
+    lie by all keys and takes others to the session's number of partitions; it moves the fragments to the verdicts.
     """
     if min_overlap < 1:
         raise ValueError("min_overlap must be at least 1")
@@ -127,6 +129,8 @@ def assign(frags: DataFrame, overlaps: DataFrame, keys: Sequence[str], min_overl
         .when(F.col("_n") == 1, "assigned")
         .otherwise("ambiguous")
     )
+    if parts:
+        verdict = verdict.repartition(parts, *keys)
     out = frags.join(verdict, list(keys), "left").withColumn("status", status)
     return out.select(*keys, "status", F.when(F.col("status") == "assigned", F.col("_gene")).alias("gene_id"))
 

@@ -42,8 +42,8 @@ def blocks(m: DataFrame) -> DataFrame:
 
 def _assigned(spark, d, min_overlap=1, largest=False, by=()):
     keys = (*by, *KEYS)
-    m = mates(spark, d, by)
-    return q.assign(q.fragments(m, keys), q.mate_overlaps(blocks(m), features(spark, d), keys, _home(spark, d)), keys, min_overlap, largest)
+    m, home = mates(spark, d, by), _home(spark, d)
+    return q.assign(q.fragments(m, keys), q.mate_overlaps(blocks(m), features(spark, d), keys, home), keys, min_overlap, largest, home[0])
 
 
 def fragment_pairing(spark: SparkSession, d: str) -> DataFrame:
