@@ -152,12 +152,17 @@ def feature_lengths(features: DataFrame) -> DataFrame:
     return out.join(one.select("gene_id", bad.alias("_ok")), "gene_id").filter("_ok").drop("_ok")
 
 
-def gene_counts(assigned: DataFrame, lengths: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """by, gene_id, length, count, with a zero for every feature (and sample) without a fragment."""
+def gene_counts(assigned: DataFrame, lengths: DataFrame, by: Sequence[str] = (), parts: int | None = None) -> DataFrame:
+    """by, gene_id, length, count, with a zero for every feature (and sample) without a fragment.
+
+    Fragments are counted where they lie before they move; then counts and features meet in ``parts`` partitions.
+    """
     n = assigned.filter("status = 'assigned'").groupBy(*by, "gene_id").agg(F.count("*").alias("count"))
     every = lengths.select("gene_id", "length")
     if by:
         every = F.broadcast(assigned.select(*by).distinct()).crossJoin(every)  # a row a sample
+    if parts:
+        n = n.repartition(parts, *by, "gene_id")  # the features follow
     return every.join(n, [*by, "gene_id"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
 

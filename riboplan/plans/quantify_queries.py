@@ -97,7 +97,7 @@ def _lengths(spark, d):
 
 
 def gene_counts_zero_filled(spark: SparkSession, d: str) -> DataFrame:
-    return q.gene_counts(_assigned(spark, d), _lengths(spark, d))
+    return q.gene_counts(_assigned(spark, d), _lengths(spark, d), parts=record_parts(spark, d))
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -109,7 +109,8 @@ def rpkm_tpm(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _by_sample(spark, d):
-    return q.normalise(q.gene_counts(_assigned(spark, d, by=("sample",)), _lengths(spark, d), ("sample",)), ("sample",))
+    counts = q.gene_counts(_assigned(spark, d, by=("sample",)), _lengths(spark, d), ("sample",), record_parts(spark, d))
+    return q.normalise(counts, ("sample",))
 
 
 def multi_sample_expression(spark: SparkSession, d: str) -> DataFrame:

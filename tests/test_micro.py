@@ -1,5 +1,7 @@
 """Hand-computed cases of the rules, and properties against plain versions."""
 
+import re
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -308,3 +310,22 @@ def test_kmers_are_counted_before_they_are_rows(spark):
     rows = minimizers.kmer_counts(spark.createDataFrame(list(enumerate(seqs)), "ordinal long, seq string"), 4)
     assert {r["kmer"]: r["n"] for r in rows.collect()} == want
     assert "Generate" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fragments_and_genes_meet_in_partitions_that_grow(spark, data, monkeypatch):
+    from riboplan import session
+    from riboplan.plans import quantify_queries
+
+    monkeypatch.setattr(session, "TASK_ROWS", 1000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = quantify_queries.record_parts(spark, data)
+        assert parts > int(spark.conf.get("spark.sql.shuffle.partitions"))
+        for name, keys in (("fragment_assignment_default", r"qname#\d+L?, frag#\d+L?"), ("gene_counts_zero_filled", r"gene_id#\d+"), ("multi_sample_expression", r"sample#\d+, gene_id#\d+")):
+            plan = quantify_queries.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+            sides = re.findall(rf"hashpartitioning\({keys}, (\d+)\)", plan)
+            assert sides.count(str(parts)) >= 2, name
+            if name == "fragment_assignment_default":  # counts by gene are summed in the session's number before they move
+                assert set(sides) == {str(parts)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
