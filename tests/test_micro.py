@@ -329,3 +329,25 @@ def test_fragments_and_genes_meet_in_partitions_that_grow(spark, data, monkeypat
                 assert set(sides) == {str(parts)}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["mate_overlap_detail"])
+@pytest.mark.parametrize("features", [500_000, -1])
+def test_every_shuffle_of_records_grows(spark, data, monkeypatch, name, features):
+    from riboplan import session
+    from riboplan.plans import quantify_queries
+
+    query = quantify_queries.QUERIES[name]
+    want = sorted(map(str, query(spark, data).collect()))
+    monkeypatch.setattr(session, "TASK_ROWS", 1000)
+    monkeypatch.setattr(quantify, "BROADCAST_FEATURES", features)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = query(spark, data)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        sides = set(re.findall(r"hashpartitioning\(.*?, (\d+)\)", plan))
+        assert sides == {str(quantify_queries.record_parts(spark, data))} != {spark.conf.get("spark.sql.shuffle.partitions")}
+        assert ("_bin#" in "".join(re.findall(r"hashpartitioning\(.*?\)", plan))) == (features < 0)
+        assert sorted(map(str, rows.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
