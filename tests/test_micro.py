@@ -331,7 +331,7 @@ def test_fragments_and_genes_meet_in_partitions_that_grow(spark, data, monkeypat
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", ["mate_overlap_detail", "fragment_assignment_default"])
+@pytest.mark.parametrize("name", ["mate_overlap_detail", "fragment_assignment_default", "fragment_assignment_largest"])
 @pytest.mark.parametrize("features", [500_000, -1])
 def test_every_shuffle_of_records_grows(spark, data, monkeypatch, name, features):
     from riboplan import session
