@@ -13,13 +13,17 @@ from .views import record_parts, spark_view, with_views
 KEYS = ("qname", "frag")
 SAMPLE_KEYS = ("sample", "qname", "frag")
 
+#: Order of a name's records: first that of ``arrival``, which needs no further sort, then what else fragments or blocks read. So
+#: both come from one shuffle of lineitem, and records that ``arrival`` leaves equal lie in the same order in both.
+RECORD_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_returnflag")
+
 
 def features(spark: SparkSession, d: str) -> DataFrame:
     return spark_view(spark, d, "features").withColumnsRenamed({"start0": "start", "end0": "end"})
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
-    return spark_view(spark, d, "alignments", {"lineitem": (record_parts(spark, d), "l_orderkey")})
+    return spark_view(spark, d, "alignments", {"lineitem": (record_parts(spark, d), RECORD_ORDER)})
 
 
 def _home(spark: SparkSession, d: str) -> q.Home:

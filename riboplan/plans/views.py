@@ -7,6 +7,7 @@ DuckDB's regexp_replace needs as a fourth argument to replace every match, and S
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,12 +63,15 @@ FROM (SELECT doc_id, {_BASES} seq FROM {{documents}}), generate_series(0,CAST(gr
 }
 
 
-def spark_view(spark: SparkSession, sf_dir: str, name: str, spread: dict[str, tuple[int, str]] | None = None) -> DataFrame:
-    """``spread``: into how many partitions a table goes, and by which column, before anything else."""
+def spark_view(spark: SparkSession, sf_dir: str, name: str, spread: dict[str, tuple[int, Sequence[str]]] | None = None) -> DataFrame:
+    """``spread``: into how many partitions a table goes by its first column named, each sorted by all of them, before anything else.
+
+    All that is named travels, whatever a reader of the view needs, so readers that differ in less share the shuffle.
+    """
     sql = VIEWS[name].replace("<G>", "")
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"\{(\w+)\}", sql))}
-    for t, (parts, column) in (spread or {}).items():
-        tables[t] = tables[t].repartition(parts, column)
+    for t, (parts, columns) in (spread or {}).items():
+        tables[t] = tables[t].repartition(parts, columns[0]).sortWithinPartitions(*columns)
     return spark.sql(sql, **tables)
 
 

@@ -351,3 +351,44 @@ def test_every_shuffle_of_records_grows(spark, data, monkeypatch, name, features
         assert sorted(map(str, rows.collect())) == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _nodes(plan):
+    """Names and texts of the nodes of an executed plan; what a reused exchange repeats is left out."""
+    name = plan.nodeName()
+    yield name, plan.simpleString(25)
+    if name == "AdaptiveSparkPlan":
+        yield from _nodes(plan.executedPlan())
+    elif name.endswith("QueryStage"):
+        yield from _nodes(plan.plan())
+    elif name != "ReusedExchange":
+        for i in range(plan.children().size()):
+            yield from _nodes(plan.children().apply(i))
+
+
+@pytest.mark.parametrize("name", ["fragment_assignment_default", "fragment_assignment_largest"])
+def test_fragments_and_blocks_share_one_shuffle_of_records(spark, data, name):
+    from riboplan.plans import quantify_queries
+
+    rows = quantify_queries.QUERIES[name](spark, data)
+    rows.collect()
+    nodes = list(_nodes(rows._jdf.queryExecution().executedPlan()))
+    assert sum("Scan" in n and "l_orderkey" in text for n, text in nodes) == 1
+    assert sum(n == "ReusedExchange" and "l_orderkey" in text for n, text in nodes) == 1
+    assert not any(n == "Sort" and "l_extendedprice" in text and "l_quantity" not in text for n, text in nodes)  # the window takes the order as it comes
+
+
+def test_records_that_arrival_leaves_equal_lie_in_one_order(spark, tmp_path):
+    from riboplan.plans import quantify_queries
+
+    spark.createDataFrame([(i, 1) for i in range(8)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, l_linestatus string"
+    equal = [(k, 1, 1, 3, float(n), 5.0, 0.0, flag, "F") for k in range(20) for n, flag in ((4, "A"), (3, "R"), (2, "A"), (1, "R"))]
+    got = []
+    for i, lines in enumerate((equal, equal[::-1])):
+        spark.createDataFrame(lines, line).write.parquet(str(tmp_path / f"{i}.parquet"))
+        (tmp_path / f"{i}.parquet").rename(tmp_path / "lineitem.parquet")
+        m = quantify_queries.mates(spark, str(tmp_path))
+        got.append(sorted(map(str, m.select("qname", "frag", "mate", "is_unmapped", "gap").collect())))
+        (tmp_path / "lineitem.parquet").rename(tmp_path / f"{i}.parquet")
+    assert got[0] == got[1] and len(got[0]) == 80
